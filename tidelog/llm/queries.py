@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, packing, substring_dedup
+from . import bpe, exact_dedup, packing, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -29,8 +29,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_substring_dedup, op3_packing, op7_bpe, op9_exact_dedup)
+    found = (op2_substring_dedup, op3_packing, op7_bpe, op8_suffix_dedup, op9_exact_dedup)
     return {f.__name__: f for f in found}
 
 

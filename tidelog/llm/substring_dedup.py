@@ -30,9 +30,21 @@ GROUP = 4
 BLOCK, BUCKET_MB = 1 << 22, 5
 #: Packed strings are cut after so many windows (one repeated word makes one endless minimiser).
 RUN = 4096
+#: Words of a document worked on at a time.
+LONG = 400_000
 
 
-def _packed(ids: np.ndarray, texts: list[bytes], window: int, n_buckets: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch | None]:
+def _parts(ids: np.ndarray, texts: list[list[bytes]], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids, first words and texts to pack at a time: all, but a long text in parts that overlap by a window less one."""
+    short = [i for i, w in enumerate(texts) if len(w) <= LONG]
+    if short:
+        yield ids[short], np.zeros(len(short), np.int64), [b" ".join(texts[i]) for i in short]
+    for i, w in enumerate(texts):
+        for at in range(0, len(w) if len(w) > LONG else 0, LONG):
+            yield ids[i : i + 1], np.array([at]), [b" ".join(w[at : at + LONG + window - 1])]
+
+
+def _packed(ids: np.ndarray, places: np.ndarray, texts: list[bytes], window: int, n_buckets: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch | None]:
     """Parcels for the buckets and the spans already known to repeat, of one block of documents in order of id."""
     data = b"\n".join(texts)  # words within a text are one blank apart
     start, end, hashes = words(data)
@@ -72,7 +84,7 @@ def _packed(ids: np.ndarray, texts: list[bytes], window: int, n_buckets: int) ->
         i, h = order[k], heads[k]
         if data[byte_a[i] : byte_b[i]] == data[byte_a[h] : byte_b[h]]:
             travels[i] = ids[doc[a[i]]] == ids[doc[a[h]]] and a[i] - first_word[doc[a[i]]] == a[h] - first_word[doc[a[h]]]
-    at = a - first_word[doc[a]]
+    at = a - first_word[doc[a]] + places[doc[a]]
     gone = np.flatnonzero(~travels)
     known = span_batch(ids[doc[a[gone]]], at[gone], at[gone] + (b - a)[gone] + window) if len(gone) else None
     kept = np.flatnonzero(travels)
@@ -161,12 +173,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ids = batch.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             column = batch.column("t").cast(pa.binary())
-            texts = [b" ".join(column[i].as_py().split()) for i in order]
-            out, known = _packed(ids[order], texts, window, n_buckets)
-            if known is not None:  # spread over the buckets, which pass them on
-                out.append((int(ids[0]) % n_buckets, b"\0" + zstandard.ZstdCompressor(1).compress(_span_bytes(known))))
-            if out:
-                yield parcels(out)
+            texts = [column[i].as_py().split() for i in order]
+            for part in _parts(ids[order], texts, window):
+                out, known = _packed(*part, window, n_buckets)
+                if known is not None:  # spread over the buckets, which pass them on
+                    out.append((int(ids[0]) % n_buckets, b"\0" + zstandard.ZstdCompressor(1).compress(_span_bytes(known))))
+                if out:
+                    yield parcels(out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_bucket(batches):
