@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, packing, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_substring_dedup, op3_packing, op7_bpe, op8_suffix_dedup, op9_exact_dedup)
+    found = (op1_near_dedup, op2_substring_dedup, op3_packing, op7_bpe, op8_suffix_dedup, op9_exact_dedup)
     return {f.__name__: f for f in found}
 
 
