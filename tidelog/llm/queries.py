@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup, tiff
+from . import bpe, exact_dedup, html, near_dedup, packing, substring_dedup, suffix_dedup, tiff, toxicity
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -41,8 +46,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_substring_dedup, op3_packing, op5_tiff, op7_bpe, op8_suffix_dedup, op9_exact_dedup)
+    found = (op1_near_dedup, op2_substring_dedup, op3_packing, op5_tiff, op6_toxicity, op7_bpe, op8_suffix_dedup, op9_exact_dedup, op10_html)
     return {f.__name__: f for f in found}
 
 
