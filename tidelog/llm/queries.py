@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, html, near_dedup, packing, substring_dedup, suffix_dedup, tiff, toxicity
+from . import bpe, exact_dedup, html, near_dedup, packing, pii, substring_dedup, suffix_dedup, tiff, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_substring_dedup, op3_packing, op5_tiff, op6_toxicity, op7_bpe, op8_suffix_dedup, op9_exact_dedup, op10_html)
+    found = (op1_near_dedup, op2_substring_dedup, op3_packing, op4_pii, op5_tiff, op6_toxicity, op7_bpe, op8_suffix_dedup, op9_exact_dedup, op10_html)
     return {f.__name__: f for f in found}
 
 
