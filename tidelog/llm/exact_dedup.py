@@ -79,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _with_variants(plain: DataFrame, texts: DataFrame, clashing: DataFrame) -> DataFrame:
     """Lists of identifiers in which a hash of several contents is told apart by the content itself."""
-    hit = plain.select("id", "n", "print", "sha", F.explode("ids").cast("long").alias("h")).join(clashing, "h", "left_semi")
+    hit = plain.select("id", "n", "print", "sha", F.explode(F.col("ids").cast("array<bigint>")).alias("h")).join(clashing, "h", "left_semi")
     hit = hit.select("id", "n", "print", "sha").distinct()
     own = (
         texts.withColumn("sha", F.sha2("t", 256))
