@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html, near_dedup, packing, pii, substring_dedup, suffix_dedup, tiff, toxicity
+from . import bpe, exact_dedup, html, near_dedup, oracles, packing, pii, substring_dedup, suffix_dedup, tiff, toxicity
 from .common import table
 
 
-def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
-
-
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
 
@@ -51,6 +46,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -62,8 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op9_exact_dedup": """
-            SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-                   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+        "op1_near_dedup": oracles.NEAR_DEDUP,
+        "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op8_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op9_exact_dedup": oracles.EXACT_DEDUP,
     }
