@@ -31,6 +31,8 @@ TOXIC_WEIGHT = 4.0
 #: A beginning of so many letters is a term of its own.
 BEGINNING = 4
 THRESHOLD = 0.3
+#: Toxic rows there must be among those that place the cut, and so many by which it is believed half.
+LEAST_TOXIC, FEW_TOXIC = 10, 50
 REMEMBERED = 300_000
 _word = re.compile(r"[^\W_]+")
 
@@ -58,11 +60,13 @@ class Model:
     weight: np.ndarray
     factor: np.ndarray
 
-    def score(self, kept: list[int]) -> float:
+    def odds(self, kept: list[int]) -> float:
         v = self.factor[kept]
         s = v.sum(0)
-        y = self.bias + float(self.weight[kept].sum()) + 0.5 * float(s @ s - (v * v).sum())
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, y))))
+        return self.bias + float(self.weight[kept].sum()) + 0.5 * float(s @ s - (v * v).sum())
+
+    def score(self, kept: list[int]) -> float:
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.odds(kept)))))
 
 
 class _Kept(dict):
@@ -81,6 +85,25 @@ class _Kept(dict):
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
+    """Fit on four of five rows, then move the bias so that the best cut of the fifth comes to lie at the threshold."""
+    test = np.arange(len(labels)) % 5 == 4
+    if labels[test].sum() < LEAST_TOXIC:
+        return descend(rows, labels, seed)
+    model = descend([r for r, t in zip(rows, test) if not t], labels[~test], seed)
+    index = {int(p): i for i, p in enumerate(model.place)}
+    odds = np.array([model.odds([index[t] for t in r.tolist() if t in index]) for r, t in zip(rows, test) if t])
+    order = np.argsort(-odds, kind="stable")
+    right, y = odds[order], labels[test][order]
+    hits = np.cumsum(y)
+    score = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    last = int(np.flatnonzero(score == score.max())[-1])  # the cut after so many rows
+    following = right[min(last + 1, len(right) - 1)]
+    toxic = float(y.sum())  # a cut placed by few rows is believed less
+    model.bias += toxic / (toxic + FEW_TOXIC) * (math.log(THRESHOLD / (1 - THRESHOLD)) - float(right[last] + following) / 2)
+    return model
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Model:
     """Fit on term sets and labels of 0 and 1. With one class only, every score is that class; without rows it is a half."""
     n, positive = len(labels), int(labels.sum())
     nothing = Model(0.0, np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
