@@ -111,14 +111,14 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Model:
         nothing.bias = (60.0 if positive else -60.0) if n else 0.0
         return nothing
     flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(n), sizes)
-    docs = np.bincount(flat, minlength=PLACES).astype(np.float64)
-    toxic = np.bincount(flat, weights=labels[owner].astype(np.float64), minlength=PLACES)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    docs = np.bincount(flat, minlength=PLACES)
+    common = np.flatnonzero(docs >= LEAST_DOCS)
+    docs, toxic = docs[common], np.bincount(flat[labels[owner] == 1], minlength=PLACES)[common]
     share = docs / n
     z = (toxic / positive - (docs - toxic) / (n - positive)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / (n - positive)))
-    z[docs < LEAST_DOCS] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:TERMS]
-    place = np.sort(best[np.abs(z[best]) >= LEAST_Z]).astype(np.int32)
+    place = np.sort(common[best[np.abs(z[best]) >= LEAST_Z]]).astype(np.int32)
     where = np.full(PLACES, -1, np.int32)
     where[place] = np.arange(len(place))
     used, d = where[flat] >= 0, len(place)
