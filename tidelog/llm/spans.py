@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import blocks, utf8
+
 #: Stands for a null id while documents are grouped by id.
 NULL_ID = -(1 << 63)
 
@@ -19,9 +22,23 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_spans(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each document with its array of (s, e) spans; the array is null where there are none."""
+    """Each document with its array of (s, e) spans, null where there are none, and its text compressed (``texts``).
+
+    Texts are compressed before they are shuffled: one by one they still take a quarter less than by the shuffle.
+    """
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(1).compress
+        for batch in blocks(batches, "t", 1 << 23):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(t) for t in utf8(batch.column("t"))], pa.binary())], names=["id", "z"])
+
     listed = spans.groupBy(F.col("id").alias("sid")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return keyed_docs.join(listed, F.col("id") == F.col("sid"), "left").select("id", "t", "spans")
+    return keyed_docs.mapInArrow(compress, "id long, z binary").join(listed, F.col("id") == F.col("sid"), "left").select("id", "z", "spans")
+
+
+def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return map(unpack, batch.column("z").to_pylist())
 
 
 def span_arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, pieces_for, text_bytes
 from .rolling import U64, between, mix, prefix_sums, sliding_min, windows, words
-from .spans import NULL_ID, by_bucket, covered, keyed, parcels, span_arrays, span_batch, with_spans
+from .spans import NULL_ID, by_bucket, covered, keyed, parcels, span_arrays, span_batch, texts, with_spans
 
 WINDOW = 20
 #: Words of a minimiser.
@@ -210,9 +210,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows = keyed(docs, id_col, text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "t", BLOCK):
+        for batch in blocks(batches, "z", BLOCK // 2):
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, found in zip(batch.column("t").cast(pa.binary()).to_pylist(), span_arrays(batch)):
+            for text, found in zip(texts(batch), span_arrays(batch)):
                 listed = text.split()
                 n = len(listed)
                 if found is not None:

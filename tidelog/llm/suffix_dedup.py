@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, pieces_for, text_bytes
 from .rolling import U64, between, mix, prefix_sums, sliding_min, windows
-from .spans import NULL_ID, by_bucket, covered, keyed, parcels, span_arrays, span_batch, with_spans
+from .spans import NULL_ID, by_bucket, covered, keyed, parcels, span_arrays, span_batch, texts, with_spans
 
 WINDOW = 200
 #: Bytes of a minimiser.
@@ -173,16 +174,17 @@ def _stretches(ids: np.ndarray, places: np.ndarray, texts: list[bytes], window:
     owners = np.diff(np.append(heads, len(order))).astype("<i4")
     i = order[heads]
     bucket = (mix(minimiser[i]) % U64(n_buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
+    by = np.lexsort((i, bucket))  # in order of text within a bucket, so that differences of places are small
     edges = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
-    pack, out = zstandard.ZstdCompressor(1).compress, []
+    pack, out = zstandard.ZstdCompressor(3).compress, []
     starts, sizes = a.tolist(), size.tolist()
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
         g = by[x:y]
         members = np.concatenate([np.arange(heads[k], heads[k] + owners[k]) for k in g]) if owners[g].max() > 1 else heads[g]
         j = i[g]
         body = b"".join([data[starts[k] : starts[k] + sizes[k]] for k in j.tolist()])
-        parts = [np.array([len(g), len(members)], "<i8"), minimiser[j].astype("<u8"), digest[j].astype("<u8"), size[j].astype("<i4"), owners[g], several[j].astype("<i4"), owner[members], at[members]]
+        steps = np.diff(owner[members], prepend=0), np.diff(at[members], prepend=0)
+        parts = [np.array([len(g), len(members)], "<i8"), minimiser[j].astype("<u8"), size[j].astype("<i4"), owners[g], several[j].astype("<i4"), *steps]
         out.append((int(bucket[g[0]]), pack(b"".join([p.tobytes() for p in parts]) + body)))
     return out
 
@@ -196,27 +198,29 @@ def _moves(moved: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _meet(held: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     """Spans of bytes that repeat, of the stretches of one bucket."""
     unpack = zstandard.ZstdDecompressor().decompress
-    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     bodies, body_sizes = [], []
     for parcel in held:
         raw = unpack(parcel)
         n, m = np.frombuffer(raw, "<i8", 2).tolist()
         at = 16
-        for c, (kind, k) in zip(columns, (("<u8", n), ("<u8", n), ("<i4", n), ("<i4", n), ("<i4", n), ("<i8", m), ("<i8", m))):
-            c.append(np.frombuffer(raw, kind, k, at))
+        for c, (kind, k) in zip(columns, (("<u8", n), ("<i4", n), ("<i4", n), ("<i4", n), ("<i8", m), ("<i8", m))):
+            values = np.frombuffer(raw, kind, k, at)
+            c.append(np.cumsum(values) if kind == "<i8" else values)
             at += k * int(kind[-1])
         bodies.append(raw[at:])
         body_sizes.append(len(raw) - at)
-    minimiser, digest, size, owners, several, owner, place = (np.concatenate(c) for c in columns)
+    minimiser, size, owners, several, owner, place = (np.concatenate(c) for c in columns)
     data = b"".join(bodies)
     del bodies, columns
     size = size.astype(np.int64)
     begin = np.cumsum(size) - size
+    view = memoryview(data)
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(view[b : b + n]) for b, n in zip(begin.tolist(), size.tolist())), U64, len(size))
     order = np.lexsort((digest, minimiser))
     m, d = minimiser[order], digest[order]
     new = np.ones(len(order), bool)
     new[1:] = (m[1:] != m[:-1]) | (d[1:] != d[:-1])
-    view = memoryview(data)
     for k in np.flatnonzero(~new):
         i, j = order[k], order[k - 1]
         new[k] = view[begin[i] : begin[i] + size[i]] != view[begin[j] : begin[j] + size[j]]
@@ -292,9 +296,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     rows = keyed(docs, id_col, text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "t", BLOCK):
+        for batch in blocks(batches, "z", BLOCK // 2):
             n_bytes, n_removed, n_spans, digests, kept_bytes = [], [], [], [], []
-            for text, found in zip(batch.column("t").cast(pa.binary()).to_pylist(), span_arrays(batch)):
+            for text, found in zip(texts(batch), span_arrays(batch)):
                 n, spans = len(text), 0
                 if found is not None:
                     gone = covered(n, *found)
