@@ -26,9 +26,9 @@ def brute(rows, window=200):
     return sorted(out, key=str)
 
 
-def result(spark, rows):
+def result(spark, rows, **more):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA).repartition(3)
-    return sorted(map(tuple, suffix_dedup(df).collect()), key=str)
+    return sorted(map(tuple, suffix_dedup(df, **more).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -46,15 +46,16 @@ def test_table(spark):
     assert result(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random(spark, seed):
+@pytest.mark.parametrize("seed,limit", [(0, 1 << 30), (1, 1 << 30), (2, 1 << 30), (1, 2000), (2, 0)])
+def test_random(spark, seed, limit):
     rng = random.Random(seed)
     passages = ["".join(rng.choices("abcé ", k=rng.randint(150, 400))) for _ in range(4)]
     rows = []
     for i in range(60):
         parts = [rng.choice(passages)[rng.randint(0, 30) :] if rng.random() < 0.5 else "".join(rng.choices("xyz", k=rng.randint(0, 300))) for _ in range(rng.randint(0, 4))]
         rows.append((i * 3, "".join(parts)))
-    assert result(spark, rows) == brute(rows)
+    rows += [(1000 + i, t) for i, t in rows[:9]]
+    assert result(spark, rows, limit=limit) == brute(rows)
 
 
 def test_edges(spark):

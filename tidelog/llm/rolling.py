@@ -106,6 +106,11 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
+def second(values: np.ndarray) -> np.ndarray:
+    """Values replaced one by one, so that hashes of them are independent of the first hashes."""
+    return mix(values ^ U64(0xA0761D6478BD642F))
+
+
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     """Minimum of each window of ``size`` values, by doubling."""
     if len(values) < size:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,19 +64,39 @@ def parcels(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "parcel"])
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Parcels of one bucket after another, from rows sorted by bucket."""
-    now, held = None, []
+def by_bucket(batches: Iterator[pa.RecordBatch], size: Callable[[bytes], int], limit: int) -> Iterator[tuple[bool, list[bytes]]]:
+    """Parcels of one bucket after another, from rows sorted by bucket.
+
+    A bucket of up to ``limit`` bytes (by ``size``) comes as one list, after False. A larger one comes in lists of
+    about so many bytes, after True, so that what a task holds is bounded whatever a bucket has.
+    """
+    now, held, total, large = None, [], 0, False
     for batch in batches:
         for bucket, parcel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if bucket != now and held:
-                yield held
-                held = []
-            now = bucket
+            if bucket != now:
+                if held:
+                    yield large, held
+                now, held, total, large = bucket, [], 0, False
+            n = size(parcel)
+            if held and total + n > limit:
+                yield True, held
+                held, total, large = [], 0, True
             held.append(parcel)
+            total += n
     if held:
-        yield held
+        yield large, held
+
+
+FOUND = "id long, s long, e long, h1 long, h2 long"
+
+
+def found_batch(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """Spans that repeat, as rows of ``FOUND``."""
+    none = pa.nulls(len(ids), pa.int64())
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (ids, s, e)), none, none], names=["id", "s", "e", "h1", "h2"])
 
 
-def span_batch(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, s, e)], names=["id", "s", "e"])
+def window_batch(ids: np.ndarray, s: np.ndarray, window: int, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
+    """Windows still to be compared, with their 128-bit digest, as rows of ``FOUND``."""
+    digests = [pa.array(h.view(np.int64)) for h in (h1, h2)]
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (ids, s, s + window)), *digests], names=["id", "s", "e", "h1", "h2"])

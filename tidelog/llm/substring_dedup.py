@@ -6,6 +6,8 @@ the windows are sorted; equal neighbours are compared byte by byte, and all but
 
 Copies within a block of documents are combined before they are sent: only the earliest of equal strings travels, the
 others are repeats from end to end already. A bucket's size is set by the number of buckets, which follows the input.
+A bucket too large for a task all the same (a minimiser inside a phrase that very many texts share) isn't sorted
+there: its windows go by 128-bit digests, whose earliest place is a minimum, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pieces_for, text_bytes
-from .rolling import U64, between, mix, prefix_sums, sliding_min, windows, words
-from .spans import NULL_ID, by_bucket, covered, keyed, parcels, span_arrays, span_batch, texts, with_spans
+from .common import blocks, pieces_for, text_bytes, written
+from .rolling import U64, between, mix, prefix_sums, second, sliding_min, windows, words
+from .spans import FOUND, NULL_ID, by_bucket, covered, found_batch, keyed, parcels, span_arrays, texts, window_batch, with_spans
 
 WINDOW = 20
 #: Words of a minimiser.
@@ -32,6 +34,8 @@ BLOCK, BUCKET_MB = 1 << 22, 5
 RUN = 4096
 #: Words of a document worked on at a time.
 LONG = 400_000
+#: Bytes of strings that a task takes on at once; larger buckets go by digest.
+LIMIT = 16 << 20
 
 
 def _parts(ids: np.ndarray, texts: list[list[bytes]], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -86,7 +90,7 @@ def _packed(ids: np.ndarray, places: np.ndarray, texts: list[bytes], window: int
             travels[i] = ids[doc[a[i]]] == ids[doc[a[h]]] and a[i] - first_word[doc[a[i]]] == a[h] - first_word[doc[a[h]]]
     at = a - first_word[doc[a]] + places[doc[a]]
     gone = np.flatnonzero(~travels)
-    known = span_batch(ids[doc[a[gone]]], at[gone], at[gone] + (b - a)[gone] + window) if len(gone) else None
+    known = found_batch(ids[doc[a[gone]]], at[gone], at[gone] + (b - a)[gone] + window) if len(gone) else None
     kept = np.flatnonzero(travels)
     bucket = (mix(least[a[kept]]) % U64(n_buckets)).astype(np.int64)
     kept = kept[np.argsort(bucket, kind="stable")]
@@ -118,6 +122,18 @@ def _unpacked(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, by
     return owner[order], place[order], count[order].astype(np.int64), b"\n".join([strings[i] for i in order])
 
 
+def _digested(held: list[bytes], window: int) -> pa.RecordBatch | None:
+    """All windows of some strings of a large bucket."""
+    owner, place, count, data = _unpacked(held)
+    start, _, hashes = words(data)
+    run = np.repeat(np.arange(len(count)), count)
+    inside = np.flatnonzero(run[: len(run) - window + 1] == run[window - 1 :])
+    within = (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))[inside]
+    r = run[inside]
+    h1, h2 = (windows(prefix_sums(h), window)[inside] for h in (hashes, second(hashes)))
+    return window_batch(owner[r], place[r] + within, window, h1, h2) if len(inside) else None
+
+
 def _repeats(held: list[bytes], window: int) -> pa.RecordBatch | None:
     """Spans of words that repeat, of the strings of one bucket."""
     owner, place, count, data = _unpacked(held)
@@ -150,7 +166,7 @@ def _repeats(held: list[bytes], window: int) -> pa.RecordBatch | None:
     if not good.all():  # hashes collided: these windows are compared by content
         return _repeats_by_content(owner, place, count, data, window)
     r = run[own[lo]]
-    return span_batch(owner[r], word_at[own[lo]], word_at[own[hi]] + window)
+    return found_batch(owner[r], word_at[own[lo]], word_at[own[hi]] + window)
 
 
 def _repeats_by_content(owner: np.ndarray, place: np.ndarray, count: np.ndarray, data: bytes, window: int) -> pa.RecordBatch | None:
@@ -161,10 +177,10 @@ def _repeats_by_content(owner: np.ndarray, place: np.ndarray, count: np.ndarray,
         for i in range(len(listed) - window + 1):
             if seen.setdefault(tuple(listed[i : i + window]), (who, at + i)) != (who, at + i):
                 found.append((who, at + i, at + i + window))
-    return span_batch(*map(np.array, zip(*found))) if found else None
+    return found_batch(*map(np.array, zip(*found))) if found else None
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """Spans (id, s, e) of words covered by windows that also start earlier; ``docs`` has columns id and t."""
     n_buckets = pieces_for(3.2 * text_bytes(docs, "t"), BUCKET_MB)
 
@@ -182,24 +198,34 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield parcels(out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in by_bucket(batches):
+        for large, held in by_bucket(batches, _strings_size, limit):
             for parcel in held:
                 if parcel[:1] == b"\0":
                     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(parcel[1:]), "<i8").reshape(3, -1)
-                    yield span_batch(*raw)
+                    yield found_batch(*raw)
             strings = [p for p in held if p[:1] != b"\0"]
-            if strings and (found := _repeats(strings, window)) is not None:
+            if strings and (found := (_digested if large else _repeats)(strings, window)) is not None:
                 yield found
 
     sent = docs.mapInArrow(send, "bucket int, parcel binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id long, s long, e long")
+    found = written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND))
+    spans, todo = found.filter("h1 is null").select("id", "s", "e"), found.filter("h1 is not null")
+    if todo.isEmpty():
+        return spans
+    first = todo.groupBy("h1", "h2").agg(F.min(F.struct("id", "s")).alias("first"))
+    later = todo.join(first, ["h1", "h2"]).filter(F.struct("id", "s") > F.col("first"))
+    return spans.unionByName(later.select("id", "s", "e"))
+
+
+def _strings_size(parcel: bytes) -> int:
+    return 0 if parcel[:1] == b"\0" else zstandard.frame_content_size(parcel)
 
 
 def _span_bytes(batch: pa.RecordBatch) -> bytes:
-    return b"".join(c.to_numpy().astype("<i8").tobytes() for c in batch.columns)
+    return b"".join(c.to_numpy().astype("<i8").tobytes() for c in batch.columns[:3])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, limit: int = LIMIT) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, and the kept text with ``keep_text``.
 
     Words covered by a window of ``window`` words that also starts earlier (smaller id, or same id and earlier place)
@@ -227,5 +253,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept_texts, pa.string())] * keep_text, names=["id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text)
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    out = with_spans(rows, repeated_windows(rows, window)).mapInArrow(keep, schema)
+    out = with_spans(rows, repeated_windows(rows, window, limit)).mapInArrow(keep, schema)
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)

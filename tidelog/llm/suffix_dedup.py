@@ -6,6 +6,9 @@ windows meet. A bucket first sets aside stretches that need no sorting: equal on
 them stands for all) and those whose minimiser no other stretch has. The suffixes of the rest are sorted by the
 difference-cover method: triples at places 1 and 2 modulo 3 are sorted and named, names are sorted recursively, the
 other suffixes follow from these, and the two orders are merged. Then neighbours' prefixes are compared.
+
+A bucket too large for a task (a minimiser inside a phrase that very many texts share) isn't sorted there: its windows
+are told apart by 128-bit digests, which are counted like any key, with partial counts before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pieces_for, text_bytes
-from .rolling import U64, between, mix, prefix_sums, sliding_min, windows
-from .spans import NULL_ID, by_bucket, covered, keyed, parcels, span_arrays, span_batch, texts, with_spans
+from .common import blocks, pieces_for, text_bytes, written
+from .rolling import U64, between, mix, prefix_sums, second, sliding_min, windows
+from .spans import FOUND, NULL_ID, by_bucket, covered, found_batch, keyed, parcels, span_arrays, texts, window_batch, with_spans
 
 WINDOW = 200
 #: Bytes of a minimiser.
@@ -31,6 +34,8 @@ GROUP = 24
 BLOCK, BUCKET_MB = 3 << 20, 3
 #: A stretch is cut after so many windows (repetitive text has endless minimisers).
 RUN = 1 << 14
+#: Bytes of stretches that a task takes on at once; larger buckets are counted by digest.
+LIMIT = 8 << 20
 #: Bits of a minimiser's hash that are compared; the others hold its place in the block, to find the leftmost.
 PLACE_BITS = U64(24)
 
@@ -195,11 +200,11 @@ def _moves(moved: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return count[b] > count[a]
 
 
-def _meet(held: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
-    """Spans of bytes that repeat, of the stretches of one bucket."""
+def _unpacked(held: list[bytes]) -> tuple:
+    """Minimiser, size, number of owners and "several" of stretches; owner and place of their owners; their bytes."""
     unpack = zstandard.ZstdDecompressor().decompress
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-    bodies, body_sizes = [], []
+    bodies = []
     for parcel in held:
         raw = unpack(parcel)
         n, m = np.frombuffer(raw, "<i8", 2).tolist()
@@ -209,11 +214,41 @@ def _meet(held: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
             c.append(np.cumsum(values) if kind == "<i8" else values)
             at += k * int(kind[-1])
         bodies.append(raw[at:])
-        body_sizes.append(len(raw) - at)
     minimiser, size, owners, several, owner, place = (np.concatenate(c) for c in columns)
-    data = b"".join(bodies)
-    del bodies, columns
-    size = size.astype(np.int64)
+    return minimiser, size.astype(np.int64), owners, several, owner, place, b"".join(bodies)
+
+
+def _digested(held: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
+    """All windows of some stretches of a large bucket; of stretches that occur twice here, the spans as well."""
+    _, size, owners, _, owner, place, data = _unpacked(held)
+    first = np.cumsum(owners) - owners
+    member = np.repeat(np.arange(len(size)), owners)
+    whole = owners[member] > 1
+    if whole.any():
+        yield found_batch(owner[whole], place[whole], place[whole] + size[member[whole]])
+    begin = np.cumsum(size) - size
+    raw = np.frombuffer(data, np.uint8)
+    step = max(1, len(size) * (1 << 20) // max(1, len(raw)))
+    for k in range(0, len(size), step):
+        some = slice(k, k + step)
+        lo, hi = int(begin[some][0]), int(begin[some][-1] + size[some][-1])
+        codes = raw[lo:hi].astype(U64) + U64(1)
+        h1, h2 = windows(prefix_sums(codes), window), windows(prefix_sums(second(codes)), window)
+        counts = size[some] - window + 1
+        of = np.repeat(np.arange(len(counts)), counts)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = (begin[some] - lo)[of] + within
+        who = first[some][of]
+        for again in (0, 1):  # a window of two owners counts twice, whatever other lists hold
+            take = owners[some][of] > again
+            if take.any():
+                i = who[take] + again
+                yield window_batch(owner[i], place[i] + within[take], window, h1[at[take]], h2[at[take]])
+
+
+def _meet(held: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
+    """Spans of bytes that repeat, of the stretches of one bucket."""
+    minimiser, size, owners, several, owner, place, data = _unpacked(held)
     begin = np.cumsum(size) - size
     view = memoryview(data)
     digest = np.fromiter((xxhash.xxh3_64_intdigest(view[b : b + n]) for b, n in zip(begin.tolist(), size.tolist())), U64, len(size))
@@ -231,7 +266,7 @@ def _meet(held: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     member = np.repeat(np.arange(len(size)), owners)  # the stretch of each owner
     whole = times[of[member]] > 1
     if whole.any():
-        yield span_batch(owner[whole], place[whole], place[whole] + size[member[whole]])
+        yield found_batch(owner[whole], place[whole], place[whole] + size[member[whole]])
     # one of each group; sorted only if its minimiser occurs again, in another stretch or in this
     one = order[new]
     m = minimiser[one]
@@ -264,10 +299,10 @@ def _meet(held: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     single = times[todo_group[which]] == 1
     owner_of = np.cumsum(owners) - owners  # first owner of each stretch
     k = owner_of[todo[which[single]]]
-    yield span_batch(owner[k], place[k] + s[single], place[k] + e[single])
+    yield found_batch(owner[k], place[k] + s[single], place[k] + e[single])
 
 
-def repeated_strings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_strings(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """Spans (id, s, e) of bytes covered by strings of ``window`` bytes that start twice; ``docs`` has id and t."""
     n_buckets = pieces_for(3.3 * text_bytes(docs, "t"), BUCKET_MB)
 
@@ -278,14 +313,19 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield parcels(out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in by_bucket(batches):
-            yield from _meet(held, window)
+        for large, held in by_bucket(batches, zstandard.frame_content_size, limit):
+            yield from (_digested if large else _meet)(held, window)
 
     sent = docs.mapInArrow(send, "bucket int, parcel binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id long, s long, e long")
+    found = written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND))
+    spans, todo = found.filter("h1 is null").select("id", "s", "e"), found.filter("h1 is not null")
+    if todo.isEmpty():
+        return spans
+    twice = todo.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
+    return spans.unionByName(todo.join(twice, ["h1", "h2"], "left_semi").select("id", "s", "e"))
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, limit: int = LIMIT) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes with ``keep_bytes``.
 
     Every byte covered by a string of ``window`` bytes that also starts anywhere else is removed, the first occurrence
@@ -314,5 +354,5 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept_bytes, pa.binary())] * keep_bytes, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes)
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    out = with_spans(rows, repeated_strings(rows, window)).mapInArrow(keep, schema)
+    out = with_spans(rows, repeated_strings(rows, window, limit)).mapInArrow(keep, schema)
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
