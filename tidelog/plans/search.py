@@ -111,8 +111,15 @@ def search_postings(logs: DataFrame, postings: DataFrame, query: str, as_coded:
 
 
 def places(postings: DataFrame, tree: Node) -> DataFrame:
-    found = [token_matches(leaf, F.col("token")) for leaf in dict.fromkeys(leaves(tree))]
-    return postings.filter(reduce(Column.__or__, found)).select(*PLACE).distinct()
+    """Places of all records that a leaf matches. Terms that Python compares meet each token of the index once."""
+    wanted = list(dict.fromkeys(leaves(tree)))
+    slow = [leaf for leaf in wanted if isinstance(leaf, Fuzzy) and leaf.k > 1]
+    quick = [token_matches(leaf, F.col("token")) for leaf in wanted if leaf not in slow]
+    found = [postings.filter(reduce(Column.__or__, quick)).select(*PLACE)] if quick else []
+    if slow:
+        near = postings.select("token").distinct().filter(reduce(Column.__or__, (token_matches(leaf, F.col("token")) for leaf in slow)))
+        found.append(postings.join(near, "token", "left_semi").select(*PLACE))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def token_matches(leaf: Node, token: Column) -> Column:
