@@ -24,7 +24,9 @@ END_ID = 2
 #: Pieces packed together in one task; a block leaves a few windows part-filled, so larger blocks waste less.
 BLOCK_PIECES = 60_000
 #: Words remembered by a Python worker; beyond it the memory is emptied, which costs time and changes nothing.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Below this all agree on letters and their lower case.
+LATIN = "\u0100"
 
 
 class WordIds(dict):
@@ -39,6 +41,15 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: str) -> bytes:
+        mark = word[-1] if word[-1:] in (".", ",") else ""
+        stem = word[: len(word) - len(mark)]
+        low = stem.lower()
+        if low + mark != word or mark:
+            if stem.isalpha() and max(stem) < LATIN:  # letters are lower-cased, and parted from a mark, anyhow
+                ids = self[low] + (self[mark] if mark else b"")
+                if len(word) < 64:
+                    self[word] = ids
+                return ids
         ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) < 64:
             if len(self) >= REMEMBERED:
