@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def _remove(context: SparkContext, path: str) -> None:
+    """Delete a written table when the driver ends, wherever it lies; a driver that is killed leaves it."""
+    jvm, java = context._jvm, context._jsc
+    if jvm is None or java is None:  # the session was stopped: the folder is its owner's
+        return
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(java.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     Unlike a cache it survives the loss of executors, and unlike ``checkpoint()`` it computes the rows once and
-    keeps them compressed and prunable by column.
+    keeps them compressed and prunable by column. The table is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark.sparkContext, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
