@@ -81,7 +81,7 @@ def model(rows, tree):
     return found if isinstance(tree, Exact) else dedup(found, case)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random(spark, seed):
     rng = random.Random(seed)
     words = ["alpha", "alpah", "beta", "ALPHA", "Beta", "gamma_1", "x"]
@@ -96,7 +96,7 @@ def test_random(spark, seed):
             return rng.choice(terms)
         return f"({query(depth - 1)} {rng.choice(['AND', 'OR', 'NOT', 'AND NOT'])} {query(depth - 1)})"
 
-    for _ in range(6):
+    for _ in range(4):
         q = query(2)
         want = sorted(r[:6] for r in model(seen, parse(q)))
         assert sorted(tuple(r)[:6] for r in search(logs, q).collect()) == want, q
