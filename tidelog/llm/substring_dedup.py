@@ -96,12 +96,13 @@ def _packed(ids: np.ndarray, places: np.ndarray, texts: list[bytes], window: int
     kept = kept[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-    pack, out = zstandard.ZstdCompressor(1).compress, []
-    owner, count = ids[doc[a[kept]]].astype("<i8"), (b - a)[kept].astype("<i4") + window
+    pack, out = zstandard.ZstdCompressor(3).compress, []
+    owner, count = ids[doc[a[kept]]].astype("<i8"), ((b - a)[kept] + window).astype("<u2")
     place, byte_a, byte_b = at[kept].astype("<i8"), byte_a[kept].tolist(), byte_b[kept].tolist()
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
         body = b"\n".join([data[i:j] for i, j in zip(byte_a[x:y], byte_b[x:y])])
-        head_bytes = np.array([y - x], "<i8").tobytes() + owner[x:y].tobytes() + place[x:y].tobytes() + count[x:y].tobytes()
+        steps = (np.diff(c[x:y], prepend=0).tobytes() for c in (owner, place))
+        head_bytes = b"".join([np.array([y - x], "<i8").tobytes(), *steps, count[x:y].tobytes()])
         out.append((int(bucket[x]), pack(head_bytes + body)))
     return out, known
 
@@ -113,10 +114,10 @@ def _unpacked(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, by
     for parcel in held:
         raw = unpack(parcel)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        owners.append(np.frombuffer(raw, "<i8", n, 8))
-        places.append(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
-        counts.append(np.frombuffer(raw, "<i4", n, 8 + 16 * n))
-        strings += raw[8 + 20 * n :].split(b"\n")
+        owners.append(np.cumsum(np.frombuffer(raw, "<i8", n, 8)))
+        places.append(np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n)))
+        counts.append(np.frombuffer(raw, "<u2", n, 8 + 16 * n))
+        strings += raw[8 + 18 * n :].split(b"\n")
     owner, place, count = map(np.concatenate, (owners, places, counts))
     order = np.lexsort((place, owner))
     return owner[order], place[order], count[order].astype(np.int64), b"\n".join([strings[i] for i in order])
