@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,13 +38,25 @@ def osa(a: str, b: str, most: int = 1 << 30) -> int:
     return min(one[-1], most + 1)
 
 
+def _far(window: str, pattern: str, k: int) -> bool:
+    """Whether more than k of the pattern's characters are missing from the window: each edit makes up for one."""
+    for c in pattern:
+        left = window.replace(c, "", 1)
+        if len(left) == len(window):
+            k -= 1
+            if k < 0:
+                return True
+        window = left
+    return False
+
+
 def score(text: str, pattern: str, k: int) -> int:
     """Least distance of the pattern to a window of its length; one more than allowed if none is near enough."""
     m = len(pattern)
     if not m:
         return 0
     k = min(k, m)
-    windows = {text[i : i + m] for i in range(len(text) - m + 1)}
+    windows = [w for w in {text[i : i + m] for i in range(len(text) - m + 1)} if not _far(w, pattern, k)]
     return min((osa(w, pattern, k) for w in windows), default=k + 1)
 
 
@@ -63,14 +76,19 @@ def near_pattern(pattern: str) -> str | None:
     return f"(?i)(?:{'|'.join(ways)})" if ways else None
 
 
-def _pieces(pattern: str, k: int) -> str | None:
-    """A pattern all matches meet: k edits spoil at most 2 k of 2 k + 1 pieces."""
+def _cut(pattern: str, k: int) -> set[str]:
+    """Pieces of which k edits leave one whole: they spoil at most 2 k of 2 k + 1. Only those that tokens can have."""
     n = 2 * k + 1
-    if len(pattern) < n:
-        return None
     cut = [len(pattern) * i // n for i in range(n + 1)]
-    pieces = {pattern[a:b] for a, b in zip(cut, cut[1:])}
-    pieces = {p for p in pieces if all(_inside.fullmatch(c) for c in p)}
+    pieces = {pattern[a:b] for a, b in zip(cut, cut[1:])} if len(pattern) >= n else set()
+    return {p for p in pieces if all(_inside.fullmatch(c) for c in p)}
+
+
+def _pieces(pattern: str, k: int) -> str | None:
+    """A pattern all matches meet; None if the term is too short for one."""
+    if len(pattern) < 2 * k + 1:
+        return None
+    pieces = _cut(pattern, k)
     return f"(?i)(?:{'|'.join(sorted(pieces))})" if pieces else "(?!)"
 
 
@@ -80,8 +98,11 @@ def predicate(text: Column, term: str, k: int) -> Column:
     if k > len(pattern) or not pattern:
         return text.rlike(TOKEN)  # any token is near enough
     if k == 1:
-        near = near_pattern(pattern)
-        return text.rlike(near) if near else F.lit(False)
+        near, pieces = near_pattern(pattern), _cut(pattern, 1)
+        if not near:
+            return F.lit(False)
+        low = F.lower(text)  # searching for pieces is cheaper than the pattern, and one of them stays whole
+        return reduce(Column.__or__, (low.contains(p) for p in sorted(pieces))) & text.rlike(near) if pieces else text.rlike(near)
 
     @F.pandas_udf("boolean")
     def near(texts: pd.Series) -> pd.Series:
