@@ -27,6 +27,20 @@ def test_fullest_slot():
     assert main_text(page) == "a much longer text\nand more"
 
 
+def test_slot_keeps_all_below():
+    post = "<div class=post><p>Some text that is long</p><ul><li>item</li></ul><blockquote><p>quote</p></blockquote><section><h2>part</h2><p>nested</p></section><table><tr><td>cell</table><div class=in><p>inner</p></div></div>"
+    assert main_text("<div class=x><p>aside</p></div>" + post) == "Some text that is long\nitem\nquote\npart\nnested\ncell\ninner"
+    assert main_text("<div class=post><p>own</p><ul><li>a much longer item</li></ul><div class=in><p>the longest of all of them</p></div></div>") == "own\na much longer item\nthe longest of all of them"
+
+
+def test_hidden_is_an_attribute():
+    shown = ('class="overflow-hidden"', "aria-hidden=false", 'data-x="hidden"', "id='is hidden'", 'title="display: none"')
+    assert all(main_text(f"<article><div {a}>text</div></article>") == "text" for a in shown)
+    hidden = ("hidden", "class=a hidden", 'hidden=""', 'aria-hidden="true"', "style='color:red; display : none'")
+    assert all(main_text(f"<article>a<div {a}>text</div></article>") == "a" for a in hidden)
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>") == "Let x=2 be"
+
+
 def test_template(spark):
     shell = "<html><body><div class=c><div><p>Always here</p></div><div class=z><p>{}</p><p>Read on</p></div></div></body></html>"
     rows = [(i, f"http://h.example/{i}", shell.format(f"own words {i} " * (i + 1)), "x") for i in range(8)]

@@ -32,15 +32,19 @@ BROADCAST_HOSTS = 500
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?)(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?)(?:</\1\s*>|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
 _attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_hidden = re.compile(r"(?:\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none)", re.I)
+_any_attribute = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_maybe_hidden = re.compile(r"hidden|display\s*:\s*none", re.I)
+_no_display = re.compile(r"display\s*:\s*none", re.I)
 _name = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics annotation annotation-xml".split()
+)
 #: Elements that are never main text, and names in class, id or role that say the same.
 ASIDE = frozenset("head title nav footer aside form button fieldset menu dialog input option".split())
 NOT_MAIN = frozenset(
@@ -49,29 +53,42 @@ NOT_MAIN = frozenset(
     "disqus respond reply replies discussion share sharing social related recommended recommendations widget toolbar pagination pager login search skip contentinfo complementary".split()
 )
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+#: Elements within a text: what they hold belongs to the element around them.
+WITHIN = frozenset("p h1 h2 h3 h4 h5 h6 hgroup section ul ol li dl dt dd blockquote pre address figure figcaption details summary table caption thead tbody tfoot tr td th".split())
 HOLDERS = frozenset("ul ol dl table body html article main section div".split())
 
 
 class Node:
     """An open element: its path as a digest, whether its text can be main text, and whether it is the content."""
 
-    __slots__ = ("tag", "path", "main", "content")
+    __slots__ = ("tag", "path", "main", "content", "above")
 
-    def __init__(self, tag: str, path: int, main: bool, content: bool):
-        self.tag, self.path, self.main, self.content = tag, path, main, content
+    def __init__(self, tag: str, path: int, main: bool, content: bool, above: Node | None = None):
+        self.tag, self.path, self.main, self.content, self.above = tag, path, main, content, above
 
 
 def _digest(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text, seed & (1 << 64) - 1)
 
 
+def _hides(attributes: str) -> bool:
+    """Whether an element is hidden by an attribute of its own, not by a word in another's value."""
+    if not _maybe_hidden.search(attributes):
+        return False
+    for m in _any_attribute.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _no_display.search(value):
+            return True
+    return False
+
+
 class Reader:
     """Reads one page into structural tokens and blocks of text."""
 
     def __init__(self, page: str):
         self.tokens: list[int] = []
-        #: (text, in the content element, may be main, token of the text, path of its container)
-        self.blocks: list[tuple[str, bool, bool, int, int]] = []
+        #: (text, in the content element, may be main, token of the text, element that holds it)
+        self.blocks: list[tuple[str, bool, bool, int, Node]] = []
         self.stack = [Node("", 0, True, False)]
         self.parts: list[str] = []
         self._read(page)
@@ -84,8 +101,8 @@ class Reader:
             token = _digest(text, top.path) if len(text) <= SHORT else 0
             if token:
                 self.tokens.append(token)
-            holder = next(n for n in reversed(self.stack) if n.tag not in INLINE and n.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"))
-            self.blocks.append((text, top.content, top.main, token, holder.path))
+            holder = next(n for n in reversed(self.stack) if n.tag not in INLINE and n.tag not in WITHIN)
+            self.blocks.append((text, top.content, top.main, token, holder))
 
     def _open(self, tag: str, attributes: str) -> None:
         names, labels = set(), ""
@@ -96,9 +113,9 @@ class Reader:
         above = self.stack[-1]
         content = above.content or tag in ("article", "main") or "main" in names and tag not in INLINE and tag not in ("html", "body")
         main = above.main and tag not in ASIDE and not (names & NOT_MAIN and tag not in ("html", "body", "article", "main")) and not (tag == "header" and not above.content)
-        if main and attributes and _hidden.search(attributes):
+        if main and attributes and _hides(attributes):
             main = False
-        self.stack.append(Node(tag, _digest(f"{tag}{labels}", above.path), main, content))
+        self.stack.append(Node(tag, _digest(f"{tag}{labels}", above.path), main, content, above))
 
     def _read(self, page: str) -> None:
         at = 0
@@ -193,17 +210,32 @@ def templates(pages: DataFrame) -> DataFrame:
     return listed.select("host", F.slice("l.token", 1, TEMPLATE_TOKENS).alias("template"))
 
 
+def _below(node: Node, known: dict[int, bool]) -> bool:
+    """Whether an element or one around it is known to be in the slot; the answer is kept for all on the way."""
+    way, at = [], node
+    while at and at.path not in known:
+        way.append(at.path)
+        at = at.above
+    found = known[at.path] if at else False
+    known.update(dict.fromkeys(way, found))
+    return found
+
+
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The page's blocks that are main text, one a line."""
     reader = Reader(page)
     slots = [b for b in reader.blocks if b[2] and not (b[3] and b[3] in template)]
     content = [b for b in slots if b[1]]
-    if not content and slots:  # the fullest slot of the page
+    if not content and slots:  # the page's fullest slot with all that lies below it
         size: Counter[int] = Counter()
         for text, _, _, _, holder in slots:
-            size[holder] += len(text)
+            size[holder.path] += len(text)
         best = size.most_common(1)[0][0]
-        content = [b for b in slots if b[4] == best]
+        node = next(b[4] for b in slots if b[4].path == best).above
+        while node:  # it is part of a slot around it that has text of its own
+            best, node = node.path if node.path in size else best, node.above
+        below: dict[int, bool] = {best: True}
+        content = [b for b in slots if _below(b[4], below)]
     return "\n".join(b[0] for b in content)
 
 
