@@ -53,6 +53,22 @@ def test_template(spark):
     assert extract(pages).count() == len(rows) and extract(pages.limit(0)).count() == 0
 
 
+def test_types_of_pages_and_copies(spark):
+    """Types of a third each have templates of their own; copies and shared lines of articles are no template."""
+    rows = []
+    for kind in ("news", "shop", "blog"):
+        for i in range(8):
+            rows.append((len(rows), f"http://types.example/{kind}{i}", f"<body class={kind}><div class=c><p>{kind} text {i}</p><p>Notice of {kind}</p></div></body>"))
+    copy = "<article><h1>Heading</h1><p>Copied line</p></article>"
+    rows += [(100 + i, f"http://copies.example/{i}", copy) for i in range(8)]
+    similar = "<article><h1>Shared head</h1><p>Shared line</p><p>{}</p></article>"
+    rows += [(200 + i, f"http://similar.example/{i}", similar.format(i) if i < 8 else f"<article><p>own {i}</p><h1>other {i}</h1></article>") for i in range(14)]
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(out[i] == re.search("<p>(.*?)</p>", h)[1] for i, _, h in rows[:24])
+    assert all(out[100 + i] == "Heading\nCopied line" for i in range(8))
+    assert all(out[200 + i] == f"Shared head\nShared line\n{i}" for i in range(8))
+
+
 def test_classes(spark):
     """Vectors combined in parts equal vectors of the whole, and only frequent tokens are a template's."""
     rows = [(i, "h", f"<div><p>same</p><p>own {i}</p></div>" + "<hr><ol></ol>" * (i % 2)) for i in range(10)]

@@ -1,11 +1,12 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from one template. A page is read as tokens: tags in their place (the path of open elements)
-and short texts in theirs. Tokens that occur equally often in every page of the host form an equivalence class; a
-token's vector of occurrences is held as one digest, combined over pages like a sum, so it is computed for hosts of
-any size. Classes that many pages have are the template's, if their tokens keep one order and nest in each other;
-constant texts among them belong to the template, and what lies between its tags are the slots. The slots under the
-template's content element are the text; a page that names none gives its fullest slot.
+Pages of one host come from one template, or from one for each type of page. A page is read as tokens: tags in their
+place (the path of open elements) and short texts in theirs. Tokens that the same distinct page contents of the host
+have form an equivalence class; the contents that have a token are held as one digest, combined like a sum, so it is
+computed for hosts of any size. A text is of the template if enough contents have it and its class holds the element
+it lies in, or an element with labels outside the content, which marks a type of page. So what copies or similar
+articles share stays, unless all pages that have its element share it. The slots under the page's content element,
+less such texts, are the text; a page that names none gives its fullest slot.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, written
 
-#: A class is frequent if so many pages of a host have it, at least this share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.5
+#: A class is frequent if so many distinct page contents of a host have it.
+LEAST_PAGES = 4
+#: Kinds of tokens: a tag in its place; an opening one with labels, outside the content; a text that may be main text.
+STRUCTURE, MARKER, TEXT = range(3)
 #: Longer texts are never tokens of a template; a template has at most so many tokens, the most frequent first.
 SHORT, TEMPLATE_TOKENS = 120, 4000
 #: Templates are broadcast up to so many hosts, times ``TEMPLATE_TOKENS`` of 8 bytes at most; else joined by shuffle.
@@ -87,6 +90,9 @@ class Reader:
 
     def __init__(self, page: str):
         self.tokens: list[int] = []
+        #: Tokens of elements with labels outside the content, and of texts that may be main text with that of their element.
+        self.markers: set[int] = set()
+        self.texts: dict[int, int] = {}
         #: (text, in the content element, may be main, token of the text, element that holds it)
         self.blocks: list[tuple[str, bool, bool, int, Node]] = []
         self.stack = [Node("", 0, True, False)]
@@ -101,6 +107,8 @@ class Reader:
             token = _digest(text, top.path) if len(text) <= SHORT else 0
             if token:
                 self.tokens.append(token)
+                if top.main:
+                    self.texts[token] = top.path
             holder = next(n for n in reversed(self.stack) if n.tag not in INLINE and n.tag not in WITHIN)
             self.blocks.append((text, top.content, top.main, token, holder))
 
@@ -116,6 +124,8 @@ class Reader:
         if main and attributes and _hides(attributes):
             main = False
         self.stack.append(Node(tag, _digest(f"{tag}{labels}", above.path), main, content, above))
+        if labels and not content:
+            self.markers.add(self.stack[-1].path)
 
     def _read(self, page: str) -> None:
         at = 0
@@ -168,46 +178,50 @@ def host_of(url_col: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages that have it, digest of its occurrence vector, sums of its first place and count."""
+def _occurrences(pages: DataFrame) -> DataFrame:
+    """(host, content, token, kind, parent) of distinct page contents, each token of one once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "h", 1 << 22):
-            found: dict[tuple[str, int], list[int]] = {}
-            for key, host, page in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "h"))):
-                tokens = Reader(page or "").tokens
-                first: dict[int, int] = {}
-                for k, t in enumerate(tokens):
-                    first.setdefault(t, k)
-                for t, n in Counter(tokens).items():
-                    entry = found.setdefault((host, t), [0, 0, 0, 0])
-                    entry[0] += 1
-                    entry[1] ^= xxhash.xxh64_intdigest(n.to_bytes(4, "little"), key & (1 << 64) - 1)
-                    entry[2] += n
-                    entry[3] += first[t]
-            if found:
-                hosts, tokens = zip(*found)
-                values = np.array([[v[0], v[2], v[3]] for v in found.values()], np.int64)
-                vector = np.array([v[1] for v in found.values()], np.uint64).view(np.int64)
-                arrays = [pa.array(hosts, pa.string()), pa.array(np.array(tokens, np.uint64).view(np.int64)), pa.array(vector), *map(pa.array, values.T)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["host", "token", "vector", "pages", "times", "place"])
-
-    partial = pages.mapInArrow(run, "host string, token long, vector long, pages long, times long, place long")
-    return partial.groupBy("host", "token").agg(F.expr("bit_xor(vector)").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "times", "place")))
+            contents, tokens, kinds, parents = [], [], [], []
+            for page in batch.column("h").to_pylist():
+                reader = Reader(page or "")
+                contents.append(xxhash.xxh64_intdigest(np.array(reader.tokens, np.uint64).tobytes()))
+                kind = dict.fromkeys(reader.tokens, STRUCTURE) | dict.fromkeys(reader.markers, MARKER) | dict.fromkeys(reader.texts, TEXT)
+                tokens.append(np.fromiter(kind, np.uint64, len(kind)).view(np.int64))
+                kinds.append(np.fromiter(kind.values(), np.int8, len(kind)))
+                parents.append(np.array([reader.texts.get(t, 0) for t in kind], np.uint64).view(np.int64))
+            lists = [pa.array(c, pa.list_(t)) for c, t in ((tokens, pa.int64()), (kinds, pa.int8()), (parents, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(np.array(contents, np.uint64).view(np.int64)), *lists], names=["host", "content", "token", "kind", "parent"])
+
+    read = pages.select("host", "h").mapInArrow(run, "host string, content long, token array<long>, kind array<byte>, parent array<long>")
+    return read.dropDuplicates(["host", "content"]).select("host", "content", F.inline(F.arrays_zip("token", "kind", "parent")))
+
+
+def template_tokens(pages: DataFrame) -> DataFrame:
+    """(host, token, kind, pages) of hosts' templates; ``pages`` has columns host and h.
+
+    Structure is of a template if ``LEAST_PAGES`` distinct contents have it. So is a text if, besides, its class (the
+    tokens that the same contents have) holds the element it lies in, or a marker of a type of page.
+    """
+    found = _occurrences(pages).groupBy("host", "token").agg(F.expr("bit_xor(content)").alias("vector"), F.count("*").alias("pages"), F.max("kind").alias("kind"), F.max("parent").alias("parent"))
+    many = written(found.filter(f"pages >= {LEAST_PAGES}"))
+    texts = many.filter(f"kind = {TEXT}")
+    holders = many.filter(f"kind <> {TEXT}").select("host", F.col("token").alias("parent"), F.col("vector").alias("around"))
+    markers = many.filter(f"kind = {MARKER}").select("host", "vector").distinct().withColumn("marked", F.lit(True))
+    valid = texts.join(holders, ["host", "parent"], "left").join(markers, ["host", "vector"], "left").filter("around = vector or marked")
+    columns = ("host", "token", "kind", "pages")
+    return many.filter(f"kind <> {TEXT}").select(*columns).unionByName(valid.select(*columns))
+
+
+def _listed(tokens: DataFrame) -> DataFrame:
+    listed = tokens.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "token")), asc=False).alias("l"))
+    return listed.select("host", F.slice("l.token", 1, TEMPLATE_TOKENS).alias("template"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of the host's frequent equivalence classes, at most ``TEMPLATE_TOKENS``.
-
-    ``pages`` has columns key (a number that differs between pages), host and h.
-    """
-    total = pages.groupBy("host").agg(F.count("*").alias("total"))
-    many = _vectors(pages).filter(f"pages >= {LEAST_PAGES}").join(total, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("total"))
-    # tokens of one vector form a class; a class of one token frames nothing, but a constant text is of the template
-    sized = many.groupBy("host", "vector").agg(F.count("*").alias("size"))
-    members = many.join(sized, ["host", "vector"]).filter((F.col("size") > 1) | (F.col("times") == F.col("pages")))
-    listed = members.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "token")), asc=False).alias("l"))
-    return listed.select("host", F.slice("l.token", 1, TEMPLATE_TOKENS).alias("template"))
+    """(host, template): structure and texts of the host's template, at most ``TEMPLATE_TOKENS``."""
+    return _listed(template_tokens(pages))
 
 
 def _below(node: Node, known: dict[int, bool]) -> bool:
@@ -247,8 +261,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"), host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("h"))
-    known = templates(rows.select(F.xxhash64("id", "u").alias("key"), "host", "h"))
-    known = written(known)
+    known = written(templates(rows))
     joined = rows.join(F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
