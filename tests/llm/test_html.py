@@ -2,7 +2,9 @@ import html as entities
 import re
 
 import pyarrow.parquet as pq
+import pytest
 
+from tidelog.llm import html
 from tidelog.llm.html import Reader, extract, main_text, templates
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head>
@@ -69,6 +71,18 @@ def test_types_of_pages_and_copies(spark):
     assert all(out[200 + i] == f"Shared head\nShared line\n{i}" for i in range(8))
 
 
+@pytest.mark.parametrize("texts", [html.BROADCAST_TEXTS, 0])
+def test_long_and_many_texts(spark, monkeypatch, texts):
+    """Template texts of any length and number are found, broadcast or joined by page."""
+    monkeypatch.setattr(html, "BROADCAST_TEXTS", texts)
+    many = "".join(f"<p>notice {i}</p>" for i in range(4100))
+    shell = "<article><section class=n>" + many + "</section><div class=legal>" + "All rights reserved. " * 20 + "</div><p>{}</p></article>"
+    rows = [(i, f"http://h.example/{i}", shell.format(f"own {i}")) for i in range(6)]
+    rows += [(100, None, "<p>alone</p>"), (3, *rows[3][1:])]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in out) == sorted([(i, f"own {i}") for i in (0, 1, 2, 3, 3, 4, 5)] + [(100, "alone")])
+
+
 def test_classes(spark):
     """Vectors combined in parts equal vectors of the whole, and only frequent tokens are a template's."""
     rows = [(i, "h", f"<div><p>same</p><p>own {i}</p></div>" + "<hr><ol></ol>" * (i % 2)) for i in range(10)]

@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host come from one template, or from one for each type of page. A page is read as tokens: tags in their
-place (the path of open elements) and short texts in theirs. Tokens that the same distinct page contents of the host
+place (the path of open elements) and texts in theirs. Tokens that the same distinct page contents of the host
 have form an equivalence class; the contents that have a token are held as one digest, combined like a sum, so it is
 computed for hosts of any size. A text is of the template if enough contents have it and its class holds the element
 it lies in, or an element with labels outside the content, which marks a type of page. So what copies or similar
@@ -28,10 +28,8 @@ from .common import blocks, written
 LEAST_PAGES = 4
 #: Kinds of tokens: a tag in its place; an opening one with labels, outside the content; a text that may be main text.
 STRUCTURE, MARKER, TEXT = range(3)
-#: Longer texts are never tokens of a template; a template has at most so many tokens, the most frequent first.
-SHORT, TEMPLATE_TOKENS = 120, 4000
-#: Templates are broadcast up to so many hosts, times ``TEMPLATE_TOKENS`` of 8 bytes at most; else joined by shuffle.
-BROADCAST_HOSTS = 500
+#: Texts of templates are broadcast up to so many, 8 bytes each; beyond it each page gets those it has by shuffles.
+BROADCAST_TEXTS = 2_000_000
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -104,11 +102,10 @@ class Reader:
         self.parts.clear()
         if text:
             top = next(n for n in reversed(self.stack) if n.tag not in INLINE)
-            token = _digest(text, top.path) if len(text) <= SHORT else 0
-            if token:
-                self.tokens.append(token)
-                if top.main:
-                    self.texts[token] = top.path
+            token = _digest(text, top.path)
+            self.tokens.append(token)
+            if top.main:
+                self.texts[token] = top.path
             holder = next(n for n in reversed(self.stack) if n.tag not in INLINE and n.tag not in WITHIN)
             self.blocks.append((text, top.content, top.main, token, holder))
 
@@ -214,14 +211,21 @@ def template_tokens(pages: DataFrame) -> DataFrame:
     return many.filter(f"kind <> {TEXT}").select(*columns).unionByName(valid.select(*columns))
 
 
-def _listed(tokens: DataFrame) -> DataFrame:
-    listed = tokens.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "token")), asc=False).alias("l"))
-    return listed.select("host", F.slice("l.token", 1, TEMPLATE_TOKENS).alias("template"))
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template): structure and texts of the host's template."""
+    return template_tokens(pages).groupBy("host").agg(F.collect_list("token").alias("template"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): structure and texts of the host's template, at most ``TEMPLATE_TOKENS``."""
-    return _listed(template_tokens(pages))
+def _of_pages(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(host, page, template): the template texts that each page has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "h", 1 << 22):
+            found = [np.fromiter(Reader(h).texts, np.uint64).view(np.int64) for h in batch.column("h").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "token"])
+
+    had = rows.select("host", "page", "h").mapInArrow(run, "host string, page long, token array<long>").withColumn("token", F.explode("token"))
+    return had.join(texts, ["host", "token"]).groupBy("host", "page").agg(F.collect_set("token").alias("template"))
 
 
 def _below(node: Node, known: dict[int, bool]) -> bool:
@@ -238,7 +242,7 @@ def _below(node: Node, known: dict[int, bool]) -> bool:
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The page's blocks that are main text, one a line."""
     reader = Reader(page)
-    slots = [b for b in reader.blocks if b[2] and not (b[3] and b[3] in template)]
+    slots = [b for b in reader.blocks if b[2] and b[3] not in template]
     content = [b for b in slots if b[1]]
     if not content and slots:  # the page's fullest slot with all that lies below it
         size: Counter[int] = Counter()
@@ -261,15 +265,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"), host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("h"))
-    known = written(templates(rows))
-    joined = rows.join(F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known, "host", "left")
+    texts = written(template_tokens(rows).filter(f"kind = {TEXT}").select("host", "token"))
+    by_host = texts.count() <= BROADCAST_TEXTS
+    if by_host:
+        joined = rows.join(F.broadcast(texts.groupBy("host").agg(F.collect_list("token").alias("template"))), "host", "left")
+    else:
+        rows = rows.withColumn("page", F.xxhash64("id", "u", "h"))
+        joined = rows.join(_of_pages(rows, texts), ["host", "page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, frozenset[int]] = {}
         for batch in blocks(batches, "h", 1 << 22):
             texts = []
             for k, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("h").to_pylist())):
-                if host not in sets:
+                if host not in sets or not by_host:
                     if len(sets) > 64:
                         sets.clear()
                     listed = batch.column("template")[k].as_py() or ()
