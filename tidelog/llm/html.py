@@ -1,12 +1,16 @@
-"""Main text of web pages by equivalence-class template deduction.
+"""Main text of web pages by element names and labels, less the constant texts of templates.
+
+Names and labels decide on every page which element is the content and which are no main text; no tree of the template
+is built. Equivalence classes of tokens find the constant texts within what is left.
 
 Pages of one host come from one template, or from one for each type of page. A page is read as tokens: tags in their
 place (the path of open elements) and texts in theirs. Tokens that the same distinct page contents of the host
 have form an equivalence class; the contents that have a token are held as one digest, combined like a sum, so it is
 computed for hosts of any size. A text is of the template if enough contents have it and its class holds the element
 it lies in, or an element with labels outside the content, which marks a type of page. So what copies or similar
-articles share stays, unless all pages that have its element share it. The slots under the page's content element,
-less such texts, are the text; a page that names none gives its fullest slot.
+articles share stays, unless all pages that have its element share it. The order of a class's texts isn't checked. The
+blocks in the page's content element, less such texts, are the text; a page that names none gives its fullest slot,
+the element that holds most of them.
 """
 
 from __future__ import annotations
