@@ -89,6 +89,43 @@ def test_query(spark, tagger):
     assert not any(brute(r.text or "") for k, r in clean.items() if k != -3)
 
 
+def test_wider_than_patterns(spark, tagger):
+    long = "annéelisabethmargueritedubois"
+    texts = ["écrire à françois.lefèvre@exemple.fr, merci", f"à {long}@exemple.fr", f"{long}@exemplé.fr", "müller@köln.de or bob@x.org", "то иван@пример.рф.", "a@b.c@d.e"]
+    found = pii.find(texts, tagger)
+    assert all(set(base) <= set(every) for base, every in found)
+    clean = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tagger).orderBy("doc_id").collect()]
+    assert clean == ["écrire à <EMAIL>, merci", "à <EMAIL>", "<EMAIL>", "<EMAIL> or <EMAIL>", "то <EMAIL>.", "<EMAIL>"]
+
+
+def test_tagger_spans_around_patterns():
+    """What the tagger finds around a pattern's span is added beside it, what lies within isn't."""
+
+    class Fixed:
+        def decode(self, coded):
+            tags = np.zeros(coded.shape, np.int64)
+            for row, codes in zip(tags, coded):
+                used = np.flatnonzero(codes != pii.OUTSIDE)[:11]
+                row[used], row[used[0]] = 2 * 1 + 2, 2 * 1 + 1
+            return tags
+
+    base, every = pii.find(["1.2.3.4"], Fixed())[0]
+    assert base == every == [(0, 1, 7)]
+
+    class Email(Fixed):
+        def decode(self, coded):
+            return np.where(super().decode(coded) > 0, 2, 0)
+
+    base, every = pii.find(["'x'x@b.c"], Email())[0]
+    assert base == [(3, 0, 8)] and every == [(0, 0, 8), (3, 0, 8)]
+
+
+def test_windows_reach_the_ends_of_a_run():
+    text = "w " * 50 + "x" * 100 + "@" + "y" * 100 + " z" * 50
+    inside = set().union(*(range(s, s + pii.SPAN) for s in pii.windows(text)))
+    assert set(range(100, 301)) <= inside and 20 not in inside
+
+
 def test_train(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tagger = pii.train(df, n_docs=300)

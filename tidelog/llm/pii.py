@@ -2,10 +2,11 @@
 
 The patterns give email addresses, IP addresses, card and phone numbers. Their matches on a bounded sample of
 documents, and variants written otherwise (blanks, other separators, capitals), are the labelled spans a
-character-level bidirectional LSTM with CRF transitions is trained on. It reads the surroundings of every digit and
-every ``@`` of every text in overlapping windows (none of the four kinds is without one); where windows overlap, the
-one in whose middle a character lies decides, over the whole text. What it finds beside the patterns' spans is added if it
-has its kind's digits or parts.
+character-level bidirectional LSTM with CRF transitions is trained on. It reads every run of text without blanks that
+has a digit or ``@``, and its surroundings, in overlapping windows; where windows overlap, the one in whose middle a
+character lies decides, over the whole text. Text without ASCII digits and ``@`` isn't read, so an address spelt
+``name (at) host`` isn't found. What the tagger finds is added to the patterns' spans if it has its kind's digits or
+parts and reaches beyond them; so are addresses with letters other than ASCII's, whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import blocks
 from .tagger import OUTSIDE, Tagger, codes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, of the step to the next, and kept around a digit or @.
+#: Characters of a window, of the step to the next, and kept around a run of text with a digit or @.
 SPAN, STEP, AROUND = 64, 32, 16
 #: Documents sampled for training (those of least hashed id), windows made up beside theirs, and passes over both.
 TRAIN_DOCS, TRAIN_WINDOWS, MADE, EPOCHS = 3000, 600, 700, 10
@@ -35,6 +36,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 _mark = re.compile(r"[0-9@]")
+_blank = re.compile(r"\s")
+#: Letters of addresses beside ASCII's: Latin, Greek and Cyrillic ones and accents; scripts without blanks aren't parted.
+_letters = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u03ff\u0400-\u04ff\u1e00-\u1fff"
+_local = re.compile(f"[{_letters}._%+-]")
+_host = re.compile(f"[{_letters}-]+(?:\\.[{_letters}-]+)+")
 #: Labels: 0 for none, 1 + 2 k for the beginning of a span of kind k, 2 + 2 k for the rest of it.
 LABELS = 1 + 2 * len(KINDS)
 ALLOWED = np.ones((LABELS, LABELS), bool)
@@ -76,14 +82,35 @@ def patterns(text: str) -> list[Span]:
     return sorted(out)
 
 
+def addresses(text: str) -> list[Span]:
+    """Addresses with letters other than ASCII's too, around every @."""
+    out: list[Span] = []
+    at = text.find("@")
+    while at >= 0:
+        a = at
+        while a and _local.match(text, a - 1):
+            a -= 1
+        if a < at and (host := _host.match(text, at + 1)):
+            out.append((a, 0, host.end()))
+        at = text.find("@", at + 1)
+    return out
+
+
 def windows(text: str) -> list[int]:
-    """Starts of the windows that cover the surroundings of all digits and @; overlapping where they go on."""
-    starts, end = [], -1
+    """Starts of the windows that cover all runs without blanks that have a digit or @, and their surroundings."""
+    starts, end, stop = [], -1, 0
     for m in _mark.finditer(text):
-        while m.start() + AROUND > end:  # the next window of a stretch, or the first of a new one
-            start = end - SPAN + STEP if end >= m.start() - AROUND else m.start() - AROUND
-            starts.append(start)
-            end = start + SPAN
+        if m.start() < stop:
+            continue
+        start = m.start()
+        while start > stop and not text[start - 1].isspace():
+            start -= 1
+        blank = _blank.search(text, m.end())
+        stop = blank.start() if blank else len(text)
+        while stop + AROUND > end:  # the next window of a stretch, or the first of a new one
+            at = end - SPAN + STEP if starts and end >= start - AROUND else max(0, start - AROUND)
+            starts.append(at)
+            end = at + SPAN
     return starts
 
 
@@ -211,10 +238,14 @@ def _reconciled(starts: list[int], tags: np.ndarray) -> list[Span]:
     return out
 
 
+def _inside(span: Span, spans: list[Span]) -> bool:
+    return any(a <= span[0] and span[2] <= b for a, _, b in spans)
+
+
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(patterns' spans, all spans) of each text."""
     base = [patterns(t) for t in texts]
-    every = [list(b) for b in base]
+    every = [sorted({*b, *(a for a in addresses(t) if not _inside(a, b))}) for t, b in zip(texts, base)]
     starts = [windows(t) for t in texts]
     queue: list[tuple[int, list[int]]] = [(i, s) for i, s in enumerate(starts) if s]
     while queue:
@@ -232,7 +263,7 @@ def find(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]
                     a += 1
                 while b > a and texts[i][b - 1] in " \n\t,;:.":
                     b -= 1
-                if a < b and _plausible(kind, texts[i][a:b]) and not any(x < b and a < y for x, _, y in every[i]):
+                if a < b and _plausible(kind, texts[i][a:b]) and not _inside((a, kind, b), every[i]):
                     every[i].append((a, kind, b))
             at += len(s)
             every[i].sort()
@@ -266,7 +297,8 @@ def detect(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: st
 
 
 def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
-    """The input's columns with every span of the text replaced by its kind in angle brackets; a null text stays null."""
+    """The input's columns with every span of the text replaced by its kind in angle brackets, overlapping ones
+    together by that of the first; a null text stays null."""
 
     def clean(text: str, spans: list[Span]) -> str:
         out, at = [], 0
