@@ -41,6 +41,28 @@ def test_pairs_of_terms():
     assert score("wo1rd wo2rd") < 0.3 and score("group wo3rd") < score("group hates wo1rd")
 
 
+def test_pairs_independent_of_the_label():
+    """The group and the verb are as frequent in toxic rows as in clean ones; only together they are toxic."""
+    rng = random.Random(3)
+    words = [f"wo{i}rd" for i in range(300)]
+    rows = []
+    for i in range(3000):
+        both = i % 10 == 0  # toxic: half with both terms, half with neither; clean: half with one of them
+        toxic = int(i % 10 < 2)
+        extra = (["group", "hates"] if both else []) if toxic else [("group", "hates", "hates", "group")[i % 4]]
+        text = rng.choices(words, k=rng.randint(5, 40)) + extra + (["insult"] if toxic and not both else [])
+        rows.append((" ".join(text), toxic))
+    for word in ("group", "hates"):
+        share = [np.mean([word in t.split() for t, y in rows if y == k]) for k in (0, 1)]
+        assert abs(share[0] - share[1]) < 0.02
+    model = toxicity.fit([toxicity.terms(t) for t, _ in rows], np.array([y for _, y in rows]))
+    kept = toxicity._Kept(model)
+    score = lambda t: model.score(sorted({i for w in t.split() for i in kept[w]}))
+    assert kept["group"] and kept["hates"]
+    assert score("group hates wo1rd") > 0.5 and score("insult wo2rd") > 0.5
+    assert score("group wo1rd") < 0.3 and score("hates wo1rd") < 0.3
+
+
 def test_one_class():
     x = [toxicity.terms("a b")] * 3
     assert toxicity.fit(x, np.zeros(3, np.int64)).score([]) < 1e-9

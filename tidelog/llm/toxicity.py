@@ -23,8 +23,12 @@ from .common import blocks
 
 #: Labelled rows fitted on, at most: those of least hashed id.
 TRAIN_ROWS = 12_000
-#: Terms are hashed to so many places; so many of them that tell the classes apart best are kept, if they do so well.
-PLACES, TERMS, LEAST_Z, LEAST_DOCS = 1 << 22, 1024, 4.5, 4
+#: Terms are hashed to so many places; those that tell the classes apart by so many deviations are kept.
+PLACES, LEAST_Z, LEAST_DOCS = 1 << 22, 4.5, 4
+#: So are the terms of pairs that are toxic together: by chance with odds of e to the minus so many, and by so much less
+#: than each of the two alone.
+PAIR_EVIDENCE, PAIR_MORE = 23.0, 5.0
+PAIR_TERMS, PAIR_ROWS = 256, 1024  # of a block of the products that count pairs
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 12, 256, 0.1, 1e-4
 #: How much more an error on a toxic row counts.
 TOXIC_WEIGHT = 4.0
@@ -53,7 +57,7 @@ def terms(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``place`` holds the kept terms, ``weight`` and ``factor`` belong to them; at most ``TERMS`` of each."""
+    """``place`` holds the kept terms, ``weight`` and ``factor`` belong to them."""
 
     bias: float
     place: np.ndarray
@@ -103,6 +107,46 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
+def _evidence(toxic: np.ndarray, docs: np.ndarray, rate: float) -> np.ndarray:
+    """Bound of the logarithm of the odds against so many toxic among ``docs`` rows by chance (Chernoff); 0 if not more than expected."""
+    share = toxic / np.maximum(docs, 1)
+    rest = 1 - share
+    gain = share * np.log(np.maximum(share, 1e-12) / rate) + rest * np.log(np.maximum(rest, 1e-12) / (1 - rate))
+    return np.where(share > rate, docs * gain, 0.0)
+
+
+def pairs_of(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Places of the terms of pairs that are toxic together, though their terms may not be alone. All pairs are counted
+    whose terms occur in enough toxic rows for that."""
+    n, rate = len(labels), float(labels.mean())
+    toxic_docs = np.bincount(flat[labels[owner] == 1], minlength=PLACES)
+    least = max(LEAST_DOCS, math.ceil(PAIR_EVIDENCE / math.log(1 / rate)))
+    place = np.flatnonzero(toxic_docs >= least)
+    where = np.full(PLACES, -1, np.int32)
+    where[place] = np.arange(len(place))
+    used = where[flat] >= 0
+    has = np.zeros((n, len(place)), np.uint8)
+    has[owner[used], where[flat[used]]] = 1
+    alone = _evidence(toxic_docs[place], has.sum(0, dtype=np.int64), rate)
+    kept = np.zeros(len(place), bool)
+    clean, harmful = has[labels == 0], has[labels == 1]
+    del has
+    for a in range(0, len(place), PAIR_TERMS):
+        block = slice(a, a + PAIR_TERMS)
+        counts = []
+        for part in (harmful, clean):  # each pair once: with this block's terms and later ones
+            count = np.zeros((len(place[block]), len(place) - a), np.float32)
+            for k in range(0, len(part), PAIR_ROWS):
+                x = part[k : k + PAIR_ROWS, a:].astype(np.float32)
+                count += x[:, :PAIR_TERMS].T @ x
+            counts.append(count)
+        i, j = np.nonzero(counts[0] >= least)
+        toxic, docs = counts[0][i, j].astype(np.float64), (counts[0] + counts[1])[i, j].astype(np.float64)
+        more = _evidence(toxic, docs, rate) >= np.maximum(PAIR_EVIDENCE, np.maximum(alone[i + a], alone[j + a]) + PAIR_MORE)
+        kept[i[more] + a] = kept[j[more] + a] = True
+    return place[kept]
+
+
 def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Model:
     """Fit on term sets and labels of 0 and 1. With one class only, every score is that class; without rows it is a half."""
     n, positive = len(labels), int(labels.sum())
@@ -117,21 +161,21 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Model:
     docs, toxic = docs[common], np.bincount(flat[labels[owner] == 1], minlength=PLACES)[common]
     share = docs / n
     z = (toxic / positive - (docs - toxic) / (n - positive)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / (n - positive)))
-    best = np.argsort(-np.abs(z), kind="stable")[:TERMS]
-    place = np.sort(common[best[np.abs(z[best]) >= LEAST_Z]]).astype(np.int32)
+    place = np.union1d(common[np.abs(z) >= LEAST_Z], pairs_of(flat, owner, labels)).astype(np.int32)
     where = np.full(PLACES, -1, np.int32)
     where[place] = np.arange(len(place))
     used, d = where[flat] >= 0, len(place)
     column, row = where[flat[used]], owner[used]
-    every = np.zeros((n, d), np.uint8)
-    every[row, column] = 1
+    ends = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(d, np.float32), rng.normal(0, 0.02, (d, FACTORS)).astype(np.float32)
     bias, gb, gw, gv = math.log(positive / (n - positive)), 1e-6, np.full(d, 1e-6, np.float32), np.full((d, FACTORS), 1e-6, np.float32)
     y = labels.astype(np.float32)
     for _ in range(EPOCHS if d else 0):
         for at in np.array_split(rng.permutation(n), max(1, n // BATCH)):
-            x = every[at].astype(np.float32)
+            x = np.zeros((len(at), d), np.float32)
+            for k, i in enumerate(at.tolist()):
+                x[k, column[ends[i] : ends[i + 1]]] = 1
             s = x @ v
             out = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
             g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[at]) * (1 + (TOXIC_WEIGHT - 1) * y[at]) / len(at)
