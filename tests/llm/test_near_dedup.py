@@ -5,7 +5,7 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 import pytest
 
-from tidelog.llm.near_dedup import near_dedup
+from tidelog.llm.near_dedup import least_overlap, loss, near_dedup
 
 SCHEMA = "doc_id long, text string, n int, label string"
 
@@ -76,3 +76,15 @@ def test_edges(spark):
     same(result(spark, rows), brute(rows))
     assert result(spark, []) == []
     assert result(spark, [(None, "q r s"), (5, "q r s"), (None, "t")]) == [(5, 1, 5, True), (None, 1, 5, False), (None, 1, None, False)]
+
+
+def test_one_id_with_two_texts(spark):
+    """Each text is a document of its own, whatever other rows share its id; ids beyond 2**53 stay exact."""
+    one, two, high = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40)), 9007199254740993
+    rows = [(5, one), (5, two), (9, one + " more"), (high, two + " more"), (high, two + " more")]
+    same(result(spark, rows), brute(rows))
+    assert near_dedup.__doc__ and {r[2] for r in result(spark, rows)} == {5}
+
+
+def test_odds():
+    assert loss(85) < 1e-9 and loss(80) < 1e-9 and least_overlap(85) == 34
