@@ -1,11 +1,13 @@
 import html as entities
+import random
 import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
 
 from tidelog.llm import html
-from tidelog.llm.html import Reader, extract, main_text, templates
+from tidelog.llm.html import Reader, extract, frequent_tokens, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head>
 <body class="site"><header class="top"><h1>Site</h1></header><nav><ul><li>One<li>Two</ul></nav>
@@ -71,10 +73,10 @@ def test_types_of_pages_and_copies(spark):
     assert all(out[200 + i] == f"Shared head\nShared line\n{i}" for i in range(8))
 
 
-@pytest.mark.parametrize("texts", [html.BROADCAST_TEXTS, 0])
+@pytest.mark.parametrize("texts", [html.BROADCAST_ROWS, 0])
 def test_long_and_many_texts(spark, monkeypatch, texts):
     """Template texts of any length and number are found, broadcast or joined by page."""
-    monkeypatch.setattr(html, "BROADCAST_TEXTS", texts)
+    monkeypatch.setattr(html, "BROADCAST_ROWS", texts)
     many = "".join(f"<p>notice {i}</p>" for i in range(4100))
     shell = "<article><section class=n>" + many + "</section><div class=legal>" + "All rights reserved. " * 20 + "</div><p>{}</p></article>"
     rows = [(i, f"http://h.example/{i}", shell.format(f"own {i}")) for i in range(6)]
@@ -84,14 +86,76 @@ def test_long_and_many_texts(spark, monkeypatch, texts):
 
 
 def test_classes(spark):
-    """Vectors combined in parts equal vectors of the whole, and only frequent tokens are a template's."""
+    """Vectors combined in parts equal vectors of the whole, and tokens of one class occur equally often on each page."""
     rows = [(i, "h", f"<div><p>same</p><p>own {i}</p></div>" + "<hr><ol></ol>" * (i % 2)) for i in range(10)]
-    pages = spark.createDataFrame(rows, "key long, host string, h string")
-    one, many = (templates(pages.repartition(n)).collect() for n in (1, 4))
-    assert set(one[0].template) == set(many[0].template)
+    pages = spark.createDataFrame(rows + rows[:1], "key long, host string, h string")
+    one, many = ({r.token: r for r in frequent_tokens(pages.repartition(n)).collect()} for n in (1, 4))
     signed = lambda t: t - (1 << 64) if t >= 1 << 63 else t
-    tokens = [{signed(t) for t in Reader(r[2]).tokens} for r in rows]
-    assert set(one[0].template) == {t for t in set().union(*tokens) if sum(t in s for s in tokens) >= 5}
+    found = [Reader(r[2]) for r in rows]
+    counts = [Counter(map(signed, r.tokens)) + Counter({signed(g): n for g, n in r.groups.items()}) for r in found]
+    often = {t for t in set().union(*counts) if sum(t in c for c in counts) >= 4}
+    assert set(one) == set(many) == often and all(one[t].vector == many[t].vector for t in often)
+    for t in often:
+        for u in often:
+            assert (one[t].vector == one[u].vector) == all(c[t] == c[u] for c in counts)
+
+
+WORDS = "wind river stone light garden paper window table music winter summer road field bread silver cloud".split()
+
+
+def unnamed(i, rng):
+    """A page whose elements have no telling names: menu, notice, article, related lines and answers are all ``div``."""
+    say = lambda a, b: " ".join(rng.choices(WORDS, k=rng.randint(a, b)))
+    article = [f"{say(3, 6)} {i}"] + [say(20, 60) for _ in range(rng.randint(2, 5))]
+    notice = "All of what is said here is meant for readers of this site alone and must not be given to others, in whole or in part, without leave."
+    menu = "".join(f"<li>{w}</li>" for w in ("Home", "News", "Shop", say(1, 1)))
+    body = f"<div><ul>{menu}</ul></div><div>{say(4, 8)}</div><div><h1>{article[0]}</h1>" + "".join(f"<p>{p}</p>" for p in article[1:])
+    body += f"<p class=z>{notice}</p></div><div>" + "".join(f"<div>{say(3, 6)}</div>" for _ in range(rng.randint(1, 6))) + "</div><div>1999 Example Press</div>"
+    return f"<html><head><title>x</title></head><body>{body}</body></html>", "\n".join(article)
+
+
+def test_without_names(spark):
+    """Only the template tells what the text is; without it the result is another. Repeated rows don't cancel."""
+    rng = random.Random(5)
+    made = [unnamed(i, rng) for i in range(12)]
+    made.append((made[0][0].replace("".join(f"<p>{p}</p>" for p in made[0][1].split("\n")[1:]), "<p>short</p>"), made[0][1].split("\n")[0] + "\nshort"))
+    rows = [(i, f"http://plain.example/{i}", h) for i, (h, _) in enumerate(made)]
+    for times in (1, 2):
+        out = {r.page_id: r.text for r in extract(spark.createDataFrame(rows * times, "page_id long, url string, html string").repartition(3)).collect()}
+        assert out == {i: t for i, (_, t) in enumerate(made)}
+    assert all(main_text(h) != t for h, t in made)
+
+
+def test_order_and_nesting(spark):
+    """Texts that all pages have, but not in one order or not in one gap, are no template."""
+    moving = "<body><div class=c><div class=x>{}</div><div class=y>{}</div></div></body>"
+    rows = []
+    for i in range(8):
+        a, b = f"<p>own {i} and so on</p>", "<blockquote class=q>Always said</blockquote><h2 class=r>Said too</h2>"
+        rows.append((i, "http://order.example/", moving.format(a + b if i % 2 else a + "<h2 class=r>Said too</h2><blockquote class=q>Always said</blockquote>", "")))
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"own {i} and so on\n" + ("Always said\nSaid too" if i % 2 else "Said too\nAlways said") for i in range(8)}
+
+
+def plain(h):
+    """A page without the names that tell what its elements are."""
+    h = re.sub("<(/?)(article|nav|footer)>", r"<\1div>", h)
+    return h.replace('<div class="ad">', "<div>")
+
+
+def test_table_without_names(spark):
+    """The template alone finds the articles of all hosts that have one; few pages have too little text to tell."""
+    table = pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pandas()
+    host = table.url.str.extract("//([^/]*)")[0]
+    table = table[host.map(host.value_counts()) >= 20]
+    pages = spark.createDataFrame(table)
+    want = {r.page_id: r.text for r in extract(pages).collect()}
+    bare = table.assign(html=table.html.map(plain))
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(bare)).collect()}
+    right = sum(out[i] == want[i] for i in want)
+    alone = sum(main_text(h) == want[i] for i, h in zip(bare.page_id, bare.html))
+    print(len(want), right, alone)
+    assert right >= 0.98 * len(want) > alone
 
 
 def test_table(spark):
