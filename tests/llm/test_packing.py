@@ -71,3 +71,10 @@ def test_query(spark):
         assert at <= 4096
     assert sum(r.length for r in out) / (4096 * len(sequences)) > 0.97
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    """A null id doesn't turn the others into floating numbers."""
+    high = 9007199254740993
+    out = pack(spark.createDataFrame([(high, "one two"), (None, "three"), (high + 2, None)], "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id for r in out} == {high, None, high + 2} and len(out) == 3

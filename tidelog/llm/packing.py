@@ -12,7 +12,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,16 +147,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     cutting = written(cut(docs, tokenizer, window, end_id, id_col, text_col))
     n_blocks = pieces_for(cutting.count(), BLOCK_PIECES / 1e6)
 
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["length", "id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        number, pieces["offset"] = best_fit_decreasing(pieces["length"].tolist(), window)
-        pieces["sequence_id"] = (pieces["block"].to_numpy().astype("int64") << 32) + np.asarray(number, dtype="int64")
-        return pieces.drop(columns="block")
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    placed = cutting.withColumn("block", F.pmod(F.xxhash64("id", "start"), F.lit(n_blocks)).cast("int"))
-
-    def ordered(pieces: pd.DataFrame) -> pd.DataFrame:
-        return run(pieces)[["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+    def ordered(pieces: pa.Table) -> pa.Table:  # no pandas: a null id beside it would round large ids
+        by = [("length", "descending"), ("id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        pieces = pieces.sort_by(by)
+        number, offset = best_fit_decreasing(pieces.column("length").to_pylist(), window)
+        sequence = (pieces.column("block").to_numpy().astype(np.int64) << 32) + np.asarray(number, np.int64)
+        return pieces.drop_columns("block").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset, pa.int64())).select(names)
 
-    return placed.groupBy("block").applyInPandas(ordered, schema).withColumnRenamed("id", id_col)
+    placed = cutting.withColumn("block", F.pmod(F.xxhash64("id", "start"), F.lit(n_blocks)).cast("int"))
+    return placed.groupBy("block").applyInArrow(ordered, ", ".join(f"{n} long" for n in names)).withColumnRenamed("id", id_col)
