@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -52,3 +53,34 @@ def test_text_media(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
         assert b"".join(p.data.tobytes() for p in tiff.pages(bytes(r.media))) == payload
+
+
+def test_ways(spark):
+    """Texts are stored in all ways, and read back alike."""
+    texts = [f"text {i} " * (i % 200) for i in range(400)]
+    out = {r.doc_id: r for r in tiff.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_media=True).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        read = list(tiff.pages(bytes(out[i].media)))
+        seen.add((read[0].compression, read[0].predictor, read[0].layout, bytes(out[i].media[:2])))
+        assert b"".join(p.data.tobytes() for p in read)[: out[i].n_bytes] == t.encode()
+    assert len(seen) == len(tiff.WAYS)
+
+
+def test_bad_files(spark):
+    """Any fault of a file is a row with an error; other files are read."""
+    image = np.arange(200, dtype=np.uint8).reshape(10, 20)
+    good = tiff.make([image])
+
+    def with_field(tag, count, value):
+        data, at = bytearray(good), struct.unpack_from("<I", good, 4)[0]
+        for k in range(struct.unpack_from("<H", good, at)[0]):
+            where = at + 2 + 12 * k
+            if struct.unpack_from("<H", good, where)[0] == tag:
+                struct.pack_into("<II", data, where + 4, count, value)
+        return bytes(data)
+
+    bad = [with_field(278, 1, 0), with_field(256, 0, 0), with_field(258, 0, 0), with_field(257, 1, 4_000_000_000), with_field(273, 0, 0), with_field(259, 1, 7), good[: len(good) // 2], b"II", b"junk" * 9]
+    rows = [(i, f) for i, f in enumerate([good, *bad])] + [(99, None), (98, b"")]
+    out = tiff.read_pages(spark.createDataFrame(rows, "id long, file binary"), "id", "file").collect()
+    assert {r.id for r in out if r.error} == set(range(1, len(bad) + 1)) and [r.id for r in out if not r.error] == [0]
