@@ -61,3 +61,14 @@ def test_windows_compared_by_content():
     strings = [b"a b c d", b"b c d a b c d", b"q a b c"]
     found = _repeats_by_content(np.array([1, 2, 3]), np.array([0, 5, 0]), np.array([4, 7, 4]), b"\n".join(strings), 3)
     assert sorted(zip(*[c.to_pylist() for c in found.columns[:3]])) == [(2, 5, 8), (2, 8, 11), (2, 9, 12), (3, 1, 4)]
+
+
+def test_one_id_with_two_texts(spark):
+    """Texts of one id are documents of their own, in order of their digests; large ids stay exact."""
+    some = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(7, some[0]), (7, some[0] + " " + some[1]), (3, some[1]), (9007199254740993, some[2]), (None, some[2]), (7, some[0])]
+    texts = sorted({t for i, t in rows if i == 7}, key=lambda t: hashlib.sha256(t.encode()).digest())
+    names = {(7, t): k for k, t in enumerate(texts, 10)} | {(3, some[1]): 9, (9007199254740993, some[2]): 99, (None, some[2]): 1}
+    back = {k: i for (i, _), k in names.items()}
+    want = sorted(((back[k], *rest) for k, *rest in brute([(names[r], r[1]) for r in rows])), key=str)
+    assert result(spark, rows) == want

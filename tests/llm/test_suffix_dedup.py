@@ -74,3 +74,10 @@ def test_long_texts_in_parts(spark, monkeypatch):
     parts = list(m._parts(ids, texts, 200))
     assert [p[1][0] for p in parts] == list(range(0, 3000, 500))
     assert all(p[2][0] == texts[0][p[1][0] : p[1][0] + 699] for p in parts)
+
+
+def test_one_id_with_two_texts(spark):
+    one, two = ("".join(random.Random(k).choices("abcd", k=500)) for k in (1, 2))
+    rows = [(7, one), (7, two), (8, one[100:400]), (None, two[:250] + "q"), (9007199254740993, "z" * 150)]
+    want = sorted(((i, *rest[1:]) for (i, _), rest in zip(rows, (r for k in range(len(rows)) for r in brute([(j, t) for j, (_, t) in enumerate(rows)]) if r[0] == k))), key=str)
+    assert result(spark, rows) == want

@@ -10,15 +10,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from ..sources.staging import numbered
+from .common import blocks, utf8, written
 
 #: Stands for a null id while documents are grouped by id.
 NULL_ID = -(1 << 63)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns id (null replaced) and t (null is empty)."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Documents as id (null replaced) and t (null is empty), and names.
+
+    Rows of one id and text are one document. If an id has several texts, documents are numbered in order of (id, digest
+    of the text), ``id`` is that number, and names has it with the ``name`` it stands for; else names is None.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    several = rows.select("id", F.xxhash64("t").alias("x")).groupBy("id").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a <> b")
+    if several.isEmpty():
+        return rows, None
+    rows = rows.withColumn("sha", F.sha2("t", 256))
+    names = written(numbered(rows.select("id", "sha").distinct().orderBy("id", "sha"), "key"))
+    rows = rows.join(names, ["id", "sha"]).select(F.col("key").alias("id"), "t")
+    return rows, names.select("key", F.col("id").alias("name"))
+
+
+def named(out: DataFrame, names: DataFrame | None, id_col: str) -> DataFrame:
+    """Results with the input's ids again."""
+    if names is not None:
+        out = out.join(names, F.col("id") == F.col("key")).select(F.col("name").alias("id"), *(c for c in out.columns if c != "id"))
+    return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
 def with_spans(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:

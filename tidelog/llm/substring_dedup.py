@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, pieces_for, text_bytes, written
 from .rolling import U64, between, mix, prefix_sums, second, sliding_min, windows, words
-from .spans import FOUND, NULL_ID, by_bucket, covered, found_batch, keyed, parcels, span_arrays, texts, window_batch, with_spans
+from .spans import FOUND, by_bucket, covered, found_batch, keyed, named, parcels, span_arrays, texts, window_batch, with_spans
 
 WINDOW = 20
 #: Words of a minimiser.
@@ -231,10 +231,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     Words covered by a window of ``window`` words that also starts earlier (smaller id, or same id and earlier place)
     are removed. Null and empty texts have no words; shorter texts than a window lose none. Repeated rows are one
-    document: they don't repeat each other, and get one result each. A null id comes before all others. An empty table
-    gives no rows; extra columns are ignored.
+    document: they don't repeat each other, and get one result each. Rows of one id with different texts are documents
+    of their own, in order of their texts' SHA-256. A null id comes before all others. An empty table gives no rows;
+    extra columns are ignored.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows, names = keyed(docs, id_col, text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "z", BLOCK // 2):
@@ -255,4 +256,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     out = with_spans(rows, repeated_windows(rows, window, limit)).mapInArrow(keep, schema)
-    return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
+    return named(out, names, id_col)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, pieces_for, text_bytes, written
 from .rolling import U64, between, mix, prefix_sums, second, sliding_min, windows
-from .spans import FOUND, NULL_ID, by_bucket, covered, found_batch, keyed, parcels, span_arrays, texts, window_batch, with_spans
+from .spans import FOUND, by_bucket, covered, found_batch, keyed, named, parcels, span_arrays, texts, window_batch, with_spans
 
 WINDOW = 200
 #: Bytes of a minimiser.
@@ -330,10 +330,10 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     Every byte covered by a string of ``window`` bytes that also starts anywhere else is removed, the first occurrence
     too; matches don't cross rows. Null and empty texts have no bytes; texts shorter than the window lose none.
-    Repeated rows repeat each other, so both lose their texts. A null id stays null; rows that share an id must share
-    their text. An empty table gives no rows; extra columns are ignored.
+    Repeated rows repeat each other, so both lose their texts. Rows of one id with different texts are
+    documents of their own. A null id stays null. An empty table gives no rows; extra columns are ignored.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows, names = keyed(docs, id_col, text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "z", BLOCK // 2):
@@ -355,4 +355,4 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     out = with_spans(rows, repeated_strings(rows, window, limit)).mapInArrow(keep, schema)
-    return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
+    return named(out, names, id_col)
