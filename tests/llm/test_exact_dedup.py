@@ -60,5 +60,5 @@ def test_colliding_hashes(spark, monkeypatch):
             return F.lit(7).cast("long") + F.lit(0) * F.size(F.array(first))
 
     monkeypatch.setattr(m, "F", Poor())
-    rows = [(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, "cc"), (5, "dd"), (6, "cc"), (7, "e" * 5000), (8, "f" * 5000), (9, "e" * 5000)]
+    rows = [(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, "cc"), (5, "dd"), (6, "cc"), (7, "e" * 5000), (8, "f" * 5000), (9, "e" * 5000), (None, "bbbb"), (None, "aaaa"), (None, "gggg")]
     assert result(spark, rows) == brute(rows)

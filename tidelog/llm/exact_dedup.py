@@ -24,8 +24,8 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: bool = False) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256; with ``more`` also text_hash (xxhash64).
 
     Texts are equal when their characters are; null counts as empty. The largest id of a group stays. Repeated rows
     (same id and text) are members of one group and are all marked as kept if their id is the largest. A null id is
@@ -40,6 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.transform(chunks(F.col("t")), lambda c: F.xxhash64(c)).alias("recipe"),
             F.octet_length("t").alias("n"),
             F.sha2("t", 256).alias("sha"),
+            *([F.xxhash64("t").alias("x")] if more else []),
         ).withColumn("print", F.xxhash64("n", "recipe"))
     )
     # fingerprints that occur twice: partial counts are combined before the shuffle, so a hot group sends one row a task
@@ -63,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
         .select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), "keep_id", "group_size")
     )
-    rows = recipe.select("id", "sha").join(
+    rows = recipe.select("id", "sha", *(["x"] if more else [])).join(
         decided, F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2")), "left"
     )
     alone = F.col("group_size").isNull()
@@ -74,6 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("id") == keep, F.lit(False)).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("x").alias("text_hash")] if more else []),
     )
 
 
@@ -81,9 +83,16 @@ def _with_variants(plain: DataFrame, texts: DataFrame, clashing: DataFrame) -> D
     """Lists of identifiers in which a hash of several contents is told apart by the content itself."""
     hit = plain.select("id", "n", "print", "sha", F.explode(F.col("ids").cast("array<bigint>")).alias("h")).join(clashing, "h", "left_semi")
     hit = hit.select("id", "n", "print", "sha").distinct()
+
+    def _other(table: DataFrame) -> DataFrame:
+        return table.withColumnsRenamed({"id": "other_id", "sha": "other_sha"})
+
+    def _same_row() -> Column:
+        return F.col("id").eqNullSafe(F.col("other_id")) & (F.col("sha") == F.col("other_sha"))
+
     own = (
         texts.withColumn("sha", F.sha2("t", 256))
-        .join(hit, ["id", "sha"])
+        .join(_other(hit), _same_row())
         .withColumn("row", F.monotonically_increasing_id())
         .select("id", "n", "print", "sha", "row", F.posexplode(chunks(F.col("t"))).alias("pos", "chunk"))
         .withColumn("h", F.xxhash64("chunk"))
@@ -93,4 +102,5 @@ def _with_variants(plain: DataFrame, texts: DataFrame, clashing: DataFrame) -> D
         .agg(F.array_sort(F.collect_list(F.struct("pos", "one"))).alias("ids"))
         .select("id", "n", "print", "sha", F.col("ids.one").alias("ids"))
     )
-    return plain.join(hit, ["id", "sha"], "left_anti").select("id", "n", "print", "sha", "ids").unionByName(own)
+    rest = plain.join(_other(hit).select("other_id", "other_sha"), _same_row(), "left_anti")
+    return rest.select("id", "n", "print", "sha", "ids").unionByName(own)
