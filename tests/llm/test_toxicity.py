@@ -63,6 +63,28 @@ def test_pairs_independent_of_the_label():
     assert score("group wo1rd") < 0.3 and score("hates wo1rd") < 0.3
 
 
+def test_many_pairs():
+    """40 insults and 40 groups, toxic only together: each pair is rare, and no word alone is toxic."""
+    rng = random.Random(1)
+    name = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    insults, groups = [name(7) for _ in range(40)], [name(7) for _ in range(40)]
+    words, rows = [name(6) for _ in range(2000)], []
+    for _ in range(14_000):
+        kind = rng.random()
+        more = [rng.choice(insults)] * (kind < 0.25) + [rng.choice(groups)] * (kind < 0.08 or 0.25 <= kind < 0.42)
+        rows.append((" ".join(rng.choices(words, k=rng.randint(5, 60)) + more), int(kind < 0.08)))
+    model = toxicity.fit([toxicity.terms(t) for t, _ in rows[:12_000]], np.array([y for _, y in rows[:12_000]]))
+    kept = toxicity._Kept(model)
+    terms = lambda t: sorted({i for w in set(t.split()) for i in kept[w]})
+    scores = [(model.score(terms(t)), y) for t, y in rows[12_000:]]
+    assert np.mean([s >= 0.3 for s, y in scores if y]) >= 0.95 and np.mean([s >= 0.3 for s, y in scores if not y]) <= 0.01
+    assert not any(model.score(terms(w)) >= 0.3 for w in insults + groups)
+    for t, _ in rows[:50]:  # the score is the explicit sum over pairs
+        i = terms(t)
+        odds = model.bias + sum(model.weight[k] for k in i) + sum(model.factor[a] @ model.factor[b] for n, a in enumerate(i) for b in i[:n])
+        assert abs(model.odds(i) - odds) < 1e-3
+
+
 def test_one_class():
     x = [toxicity.terms("a b")] * 3
     assert toxicity.fit(x, np.zeros(3, np.int64)).score([]) < 1e-9
@@ -80,8 +102,8 @@ def test_query(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     assert by[9000].score == by[9001].score and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
     assert by[None].predicted == 1
-    kept = toxicity.score(docs, toxicity.train(docs, labels.limit(0)), keep=True)
-    assert kept.columns == ["doc_id", "text", "toxic", "score"] and kept.count() == 604
+    kept = toxicity.score(docs, toxicity.train(docs, labels.limit(0)), keep="odds")
+    assert kept.columns == ["doc_id", "text", "score", "toxic", "odds"] and kept.first().score == "x" and kept.count() == 604
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])

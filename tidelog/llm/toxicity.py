@@ -24,7 +24,7 @@ from .common import blocks
 #: Labelled rows fitted on, at most: those of least hashed id.
 TRAIN_ROWS = 12_000
 #: Terms are hashed to so many places; those that tell the classes apart by so many deviations are kept.
-PLACES, LEAST_Z, LEAST_DOCS = 1 << 22, 4.5, 4
+PLACES, LEAST_Z, LEAST_DOCS = 1 << 22, 3.0, 4
 #: So are the terms of pairs that are toxic together: by chance with odds of e to the minus so many, and by so much less
 #: than each of the two alone.
 PAIR_EVIDENCE, PAIR_MORE = 23.0, 5.0
@@ -148,7 +148,8 @@ def pairs_of(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndar
 
 
 def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Model:
-    """Fit on term sets and labels of 0 and 1. With one class only, every score is that class; without rows it is a half."""
+    """Fit on term sets and labels of 0 and 1; a step touches the terms of its batch only. With one class only, every
+    score is that class; without rows it is a half."""
     n, positive = len(labels), int(labels.sum())
     nothing = Model(0.0, np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     if not n or positive in (0, n):
@@ -173,22 +174,24 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> Model:
     y = labels.astype(np.float32)
     for _ in range(EPOCHS if d else 0):
         for at in np.array_split(rng.permutation(n), max(1, n // BATCH)):
-            x = np.zeros((len(at), d), np.float32)
-            for k, i in enumerate(at.tolist()):
-                x[k, column[ends[i] : ends[i + 1]]] = 1
-            s = x @ v
-            out = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
+            held = [column[ends[i] : ends[i + 1]] for i in at.tolist()]
+            c, local = np.unique(np.concatenate(held), return_inverse=True)
+            x = np.zeros((len(at), len(c)), np.float32)
+            x[np.repeat(np.arange(len(at)), [len(h) for h in held]), local] = 1
+            vc = v[c]
+            s = x @ vc
+            out = bias + x @ w[c] + 0.5 * ((s * s).sum(1) - x @ (vc * vc).sum(1))
             g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[at]) * (1 + (TOXIC_WEIGHT - 1) * y[at]) / len(at)
             step = float(g.sum())
             gb += step * step
             bias -= RATE * step / math.sqrt(gb)
             dw = x.T @ g
-            dv = x.T @ (g[:, None] * s) - dw[:, None] * v + DECAY * v
-            dw += DECAY * w
-            gw += dw * dw
-            gv += dv * dv
-            w -= RATE * dw / np.sqrt(gw)
-            v -= RATE * dv / np.sqrt(gv)
+            dv = x.T @ (g[:, None] * s) - dw[:, None] * vc + DECAY * vc
+            dw += DECAY * w[c]
+            gw[c] += dw * dw
+            gv[c] += dv * dv
+            w[c] -= RATE * dw / np.sqrt(gw[c])
+            v[c] = vc - RATE * dv / np.sqrt(gv[c])
     return Model(bias, place, w, v)
 
 
@@ -218,14 +221,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(t, np.int32) for t, _ in seen], np.array([y for _, y in seen], np.int64))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted; with ``keep`` the input columns and a score, no more.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: str | None = None) -> DataFrame:
+    """One row per input row: id, held_out, score, predicted; with ``keep`` the input columns and a score of that name.
 
     Null and empty texts have no terms and score the machine's bias. Repeated rows score alike. A null id isn't held
-    out. An empty table gives no rows. Extra columns are ignored without ``keep``; with it a column ``score`` of the
-    input is replaced.
+    out. An empty table gives no rows. Extra columns are ignored without ``keep``; with it they stay, and the name must
+    be none of theirs.
     """
-    picked = docs.drop("score") if keep else docs.select(id_col, text_col)
+    picked = docs if keep else docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept(model)
@@ -237,10 +240,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append(model.score(sorted(found)) if found else none)
             columns = batch.columns if keep else [batch.column(id_col)]
             names = batch.schema.names if keep else [id_col]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], names=[*names, keep or "score"])
 
     fields = picked.schema if keep else picked.select(id_col).schema
-    scored = picked.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    scored = picked.mapInArrow(run, T.StructType([*fields, T.StructField(keep or "score", T.DoubleType())]))
     if keep:
         return scored
     return scored.select(id_col, F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
