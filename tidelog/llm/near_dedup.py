@@ -80,17 +80,18 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
 
 def shingled(docs: DataFrame, size: int = SHINGLE, whole: bool = False) -> DataFrame:
     """Columns id, n (size of the set), h1 and h2 (digests of the set), and its ``K`` least values (sketch), or all of
-    them with ``whole`` (grams); ``docs`` has columns id and t."""
+    them with ``whole`` (grams); ``docs`` has columns id and t; a column x is passed on."""
+    names = ["id", "x"] if "x" in docs.columns else ["id"]
     name = "grams" if whole else "sketch"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "t", BLOCK):
             sets = list(shingle_sets(utf8(batch.column("t")), size))
             digests = np.array([_digests(s) for s in sets], U64).reshape(-1, 2).view(np.int64)
-            columns = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(sets if whole else [s[:K] for s in sets])], names=["id", "n", "h1", "h2", name])
+            columns = [*map(batch.column, names), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(sets if whole else [s[:K] for s in sets])], names=[*names, "n", "h1", "h2", name])
 
-    return docs.mapInArrow(run, f"id long, n long, h1 long, h2 long, {name} array<long>")
+    return docs.mapInArrow(run, f"{' long, '.join(names)} long, n long, h1 long, h2 long, {name} array<long>")
 
 
 def listed(classes: DataFrame, percent: int) -> DataFrame:
@@ -133,8 +134,9 @@ def _pivots(lists: DataFrame, many: int) -> DataFrame:
     return part.select("v", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
 
 
-def near_dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", more: bool = False) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept; with ``more`` also text_hash (xxhash64) and
+    component_key, which tells components of one name apart and is null for sets without shingles.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of ``size``-word shingles; a
     component is all that links lead to and is named by its least id, whose row is kept. Fewer words than ``size``
@@ -145,7 +147,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col:
     extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    known = written(shingled(rows, size))
+    known = written(shingled(rows.withColumn("x", F.xxhash64("t")) if more else rows, size))
     # one class for each distinct set, with its least id; its key is its place in the written table
     classes = known.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "sketch")).alias("c"))
     classes = written(classes.select("h1", "h2", "n", "c.id", "c.sketch", F.monotonically_increasing_id().alias("key")))
@@ -185,10 +187,12 @@ def near_dedup(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col:
         many *= GROWTH
     linked = some.select("key", "h1", "h2", "n", "id").join(labels, "key")
     least = linked.groupBy("label").agg(F.min("id").alias("component"))
-    moved = linked.join(least, "label").filter("component <> id").select("h1", "h2", "n", "component")
-    named = classes.select("h1", "h2", "n", "id").join(moved, ["h1", "h2", "n"], "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
-    out = known.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    moved = linked.join(least, "label").filter("component <> id or label <> key").select("h1", "h2", "n", "component", "label")
+    named = classes.select("h1", "h2", "n", "id", "key").join(moved, ["h1", "h2", "n"], "left")
+    named = named.select("h1", "h2", "n", F.coalesce("component", "id").alias("component"), F.coalesce("label", "key").alias("component_key"))
+    out = known.drop("sketch").join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        *([F.col("x").alias("text_hash"), "component_key"] if more else []),
     )
