@@ -73,3 +73,20 @@ def test_empty_and_nulls(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, SF))
         assert {r.doc_id for r in docs.collect()} == ({2, 3, None} if data else set())
+
+
+def test_clashing_columns_and_shared_ids(spark):
+    """Columns named as the stages' own stay as they are; texts of one id are told apart."""
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    schema = "doc_id long, text string, lang string, keep_id string, score string, keep_hash string, kept string, component_id string, id string, t string"
+    row = lambda i, t: (i, t, "en", *"123456", "t")
+    rows = [row(5, long[0]), row(5, long[1]), row(5, long[1]), row(9, long[0] + " more"), row(3, long[0]), row(6, " "), row(6, ""), row(None, long[0])]
+    docs = spark.createDataFrame([r[:10] for r in rows], schema)
+    exact = corpus_pipeline.exact(spark, docs, SF)
+    assert exact.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=str) == sorted([(5, long[0]), (5, long[1]), (9, long[0] + " more"), (6, " "), (6, ""), (None, long[0])], key=str)
+    assert {tuple(r)[2:] for r in exact.collect()} == {rows[0][2:10]}
+    near = corpus_pipeline.near(spark, exact, SF)
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted([(5, long[0]), (5, long[1]), (6, " "), (6, ""), (None, long[0])], key=str)
+    toxic = corpus_pipeline.toxic(spark, docs.withColumn("doc_id", docs.doc_id + 10**9), "/root/testdata/sf0.01")
+    assert toxic.columns == docs.columns
