@@ -278,8 +278,9 @@ def read_pages(files: DataFrame, id_col: str, file_col: str) -> DataFrame:
     return files.select(F.col(id_col).alias("id"), F.col(file_col).alias("f")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-#: How texts are stored: compression, predictor, side of a tile (0 for strips) and byte order, by a text's checksum.
-WAYS = [(c, p, t, o) for c in (DEFLATE, LZW, PACKBITS) for p in (1, 2) for t in (0, 16) for o in "<>"]
+#: How texts are stored: compression, predictor, side of a tile (0 for strips) and byte order, by a text's checksum. LZW
+#: and PackBits are coded byte by byte here, so they are one of six.
+WAYS = [(c, p, t, o) for c in (DEFLATE,) * 10 + (LZW, PACKBITS) for p in (1, 2) for t in (0, 16) for o in "<>"]
 
 
 def store(text: bytes) -> tuple[bytes, int]:
