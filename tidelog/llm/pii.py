@@ -183,7 +183,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_doc
         for batch in batches:
             found: list[tuple[int, bytes, bytes]] = []
             for text in batch.column("t").to_pylist():
-                if text and (starts := windows(text)[:8]):  # the sample is of windows, some from each document
+                if text and (starts := windows(text)):
                     x, y = _coded(text, starts), _labelled(starts, patterns(text))
                     found += [(hash_of(a), a, b) for a, b in ((i.astype(np.uint8).tobytes(), j.astype(np.uint8).tobytes()) for i, j in zip(x, y))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.binary(), pa.binary()))], names=["k", "x", "y"])
