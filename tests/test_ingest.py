@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidelog.engine import LogEngine
 from tidelog.model import FIELDS
 from tidelog.operators.stats import Metrics, overloaded, retry_after
-from tidelog.sources import ingest, segments
+from tidelog.sources import ingest, segments, staging
 from tidelog.streaming.ingest import start
 
 GOOD = {"service": "a", "message": "m", "timestamp": 5}
@@ -64,6 +64,42 @@ def test_segments(spark, tmp_path):
     assert segments.compacted(stored.filter("segment_id = 1")).select("segment_id").distinct().collect() == [(1,)]
 
 
+def test_writers_share_a_folder(spark, tmp_path, monkeypatch):
+    """Batches and streams claim segments of their own; nothing is lost, and nothing stays staged."""
+    monkeypatch.setattr(staging, "_own", [str(tmp_path / "shared")])
+    engine = LogEngine(spark, str(tmp_path / "logs"))
+    lines = lambda *messages: spark.createDataFrame([(json.dumps(GOOD | {"message": m}),) for m in messages], "value string")
+    source = tmp_path / "in"
+    source.mkdir()
+    engine.ingest(lines("one", "two"))
+    (source / "a.json").write_text(json.dumps(GOOD | {"message": "three"}) + "\n")
+    engine.stream(str(source), seconds=None).awaitTermination()
+    engine.ingest(lines("four"))
+    (source / "b.json").write_text(json.dumps(GOOD | {"message": "five"}) + "\n")
+    engine.stream(str(source), seconds=None).awaitTermination()
+    stored = {r.message: (r.segment_id, r.offset) for r in engine.records().collect()}
+    assert set(stored) == {"one", "two", "three", "four", "five"} and len(set(stored.values())) == 5
+    assert not [p for p in (tmp_path / "shared").glob("stage-*") if p.is_dir()]
+    assert [engine.answer(m)["total_matches"] for m in stored] == [1] * 5
+    path = f"{engine.path}/segments"
+    assert segments.claim(spark, path, "again") == segments.claim(spark, path, "again") != segments.claim(spark, path, "other")
+
+
+def test_recovery_and_compaction(spark, tmp_path):
+    engine = LogEngine(spark, str(tmp_path))
+    segments.add_segment(records(spark, 3), f"{engine.path}/segments")
+    log = segments.framed(segments.as_json(records(spark, 6)).unionByName(spark.createDataFrame([('{"service": "s"}',)], "raw string")))
+    torn = log.withColumn("crc", F.col("crc") + F.col("raw").contains("message 4").cast("int"))
+    assert [r.error for r in engine.recover(torn).collect()] == ["missing required field: message"]
+    assert sorted(r.message for r in engine.records().collect()) == [f"message {i}" for i in (0, 1, 2, 3, 5)]
+    assert engine.answer("5")["total_matches"] == 1 and engine.answer("4")["total_matches"] == 0
+    assert engine.recover(torn).count() == 1 and engine.records().count() == 5
+    number = engine.compact(["message"])
+    stored = engine.records().orderBy("offset").collect()
+    assert [(r.segment_id, r.offset) for r in stored] == [(number, i) for i in range(5)] and [r.message for r in stored] == sorted(r.message for r in stored)
+    assert engine.answer("message")["total_matches"] == 5 and engine.compact(["message"]) is None
+
+
 def test_log(spark):
     raw = segments.as_json(records(spark, 3))
     assert json.loads(raw.first()[0]) == {"timestamp": 1, "service": "s", "level": "INFO", "message": "message 0"}

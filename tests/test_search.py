@@ -2,10 +2,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.functions import fuzzy
 from tidelog.model import FIELDS
-from tidelog.operators.index import index_size, postings, write_index
+from tidelog.operators.index import index_size, postings, read_index, update_index, write_index
 from tidelog.plans.query import And, Exact, Fuzzy, Minus, Or, parse
 from tidelog.plans.search import search, search_by_sets, search_postings
 
@@ -111,3 +112,27 @@ def test_index_on_disk(spark, golden, tmp_path):
     plan = index.filter("token = 'db'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(token,db)" in plan
     assert search_postings(golden, index, "db").count() == 3
+
+
+def test_few_and_many_places(spark, golden, monkeypatch, tmp_path):
+    """Places named in the filter, and places joined, give the same."""
+    import tidelog.plans.search as m
+
+    index = postings(golden)
+    for q in ("error AND timeout", "error NOT db", "timeout OR tiemout~2", "nothing", "auth* AND (error OR alice)"):
+        want = sorted(map(tuple, search(golden, q).collect()))
+        for most in (1000, 0):
+            monkeypatch.setattr(m, "NAMED_PLACES", most)
+            assert sorted(map(tuple, search_postings(golden, index, q).collect())) == want, q
+
+
+def test_index_in_parts(spark, golden, tmp_path):
+    """An index grows by parts; what it holds is in their names, and a whole one takes their place."""
+    path = str(tmp_path / "index")
+    assert read_index(spark, path) == (None, -1)
+    later = golden.withColumn("segment_id", F.lit(1))
+    assert update_index(golden, path) == 0 and update_index(golden.unionByName(later), path) == 1 == update_index(later, path)
+    index, last = read_index(spark, path)
+    assert last == 1 and index.count() == 2 * postings(golden).count() and len(list((tmp_path / "index").glob("part-*"))) == 2
+    assert update_index(golden.unionByName(later), path, whole=True) == 1
+    assert read_index(spark, path)[0].count() == 2 * postings(golden).count() and len(list((tmp_path / "index").glob("part-*"))) == 1

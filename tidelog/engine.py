@@ -5,14 +5,13 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .operators import stats as figures
-from .operators.index import postings, write_index
+from .operators.index import postings, read_index, update_index
 from .plans.query import QueryError
 from .plans.search import search, search_postings
 from .sources.ingest import accepted, parsed, rejected
-from .sources.segments import next_segment, read_segments, write_segment
+from .sources.segments import add_segment, compact_segments, read_segments, recover_segments
 from .streaming.ingest import start
 
 
@@ -22,34 +21,43 @@ class LogEngine:
     def __init__(self, spark: SparkSession, path: str, shards: int = 8):
         self.spark, self.path, self.shards, self.metrics = spark, path.rstrip("/"), shards, figures.Metrics()
 
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-
     def records(self) -> DataFrame:
         return read_segments(self.spark, f"{self.path}/segments")
 
     def ingest(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Store a batch of JSON texts (column value) as a new segment; returns what was accepted and rejected."""
         checked = parsed(lines)
-        number = next_segment(self.records()) if self._exists("segments") else 0
         good, bad = accepted(checked), rejected(checked)
-        write_segment(good, f"{self.path}/segments", number)
+        add_segment(good, f"{self.path}/segments")
         return good, bad
 
     def stream(self, source: str, seconds: int | None = 5):
-        return start(self.spark, source, f"{self.path}/segments", f"{self.path}/rejects", f"{self.path}/checkpoint", seconds)
-
-    def build_index(self) -> None:
-        write_index(postings(self.records()), f"{self.path}/index")
+        """Ingest files as they arrive, each batch as a segment that is indexed at once."""
+        return start(self.spark, source, f"{self.path}/segments", f"{self.path}/rejects", f"{self.path}/checkpoint", seconds, index=f"{self.path}/index")
+
+    def build_index(self, whole: bool = False) -> int:
+        """Index the segments that aren't yet, or all anew; returns the last one held."""
+        return update_index(self.records(), f"{self.path}/index", whole=whole)
+
+    def recover(self, log: DataFrame) -> DataFrame:
+        """Store and index the entries of a log (raw, length, crc) that no segment has; returns what was rejected."""
+        number, bad = recover_segments(log, f"{self.path}/segments")
+        if number is not None:
+            self.build_index()
+        return bad
+
+    def compact(self, by: list[str]) -> int | None:
+        """All records in one new segment in order of ``by``, indexed anew; None if there is one segment only."""
+        number = compact_segments(self.spark, f"{self.path}/segments", by)
+        if number is not None:
+            self.build_index(whole=True)
+        return number
 
     def search(self, query: str, as_coded: bool = False) -> DataFrame:
-        if self._exists("index"):
-            index = self.spark.read.parquet(f"{self.path}/index")
-            last = index.agg(F.max("segment_id")).first()[0]
-            return search_postings(self.records(), index, query, as_coded, -1 if last is None else last)
-        return search(self.records(), query, as_coded)
+        index, last = read_index(self.spark, f"{self.path}/index")
+        if index is None:
+            return search(self.records(), query, as_coded)
+        return search_postings(self.records(), index, query, as_coded, last)
 
     def answer(self, query: str, as_coded: bool = False) -> dict:
         """A search's results as a plain object; meant for results that a person reads."""

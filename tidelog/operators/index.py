@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_hash, tokens
 from ..model import PLACE
+from ..sources.staging import remove, staging_dir
 
 
 def token_occurrences(logs: DataFrame) -> DataFrame:
@@ -59,7 +60,58 @@ def posting_rows(lists: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Sorted by token, so that lookups and prefixes skip files and row groups; a frequent token spans several files."""
-    by = ("token", *PLACE)
-    spread = index.repartitionByRange(partitions, *by) if partitions else index.repartitionByRange(*by)
-    spread.sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+    """Sorted by token, so that lookups and prefixes skip files and row groups; a frequent token spans several files.
+
+    Postings are staged first: ranges are set by a sample, which would tokenize all records a second time.
+    """
+    spark, by = index.sparkSession, ("token", *PLACE)
+    staged = staging_dir(spark)
+    try:
+        index.write.parquet(staged)
+        rows = spark.read.parquet(staged)
+        spread = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+        spread.sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+    finally:
+        remove(spark.sparkContext, staged)
+
+
+def _parts(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(first, last) segment of each complete part of an index; of parts that others hold, only the wider ones."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = java.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    found = [tuple(map(int, n.removeprefix("part-").split("-"))) for n in names if n.startswith("part-") and files.exists(java.Path(folder, f"{n}/_SUCCESS"))]
+    kept: list[tuple[int, int]] = []
+    for first, last in sorted(found, key=lambda p: (p[0], -p[1])):
+        if not kept or last > kept[-1][1]:
+            kept.append((first, last))
+    return kept
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The index and the last segment it holds; None and -1 if there is none. Its parts' names say so, nothing is read."""
+    parts = _parts(spark, path)
+    if not parts:
+        return None, -1
+    return spark.read.parquet(*(f"{path}/part-{a}-{b}" for a, b in parts)), parts[-1][1]
+
+
+def update_index(logs: DataFrame, path: str, last: int | None = None, whole: bool = False) -> int:
+    """Add a part with the postings of segments that the index doesn't hold yet, up to ``last``; with ``whole`` all are
+    indexed anew as one part and the others go. Returns the last segment held."""
+    spark = logs.sparkSession
+    parts = _parts(spark, path)
+    held = parts[-1][1] if parts and not whole else -1
+    if last is None:
+        last = logs.agg(F.max("segment_id")).first()[0]
+    if last is None or last <= held:
+        return held
+    new = logs.filter((F.col("segment_id") > held) & (F.col("segment_id") <= last))
+    write_index(postings(new), f"{path}/part-{held + 1}-{last}")
+    for a, b in parts if whole else ():
+        if (a, b) != (0, last):
+            remove(spark.sparkContext, f"{path}/part-{a}-{b}")
+    return last

@@ -99,30 +99,73 @@ def search_by_sets(logs: DataFrame, query: str, as_coded: bool = False) -> DataF
     return results(rows(parse(query, as_coded)))
 
 
+#: So many places at most are brought to the driver to name the records to read; more are joined.
+NAMED_PLACES = 1000
+
+
 def search_postings(logs: DataFrame, postings: DataFrame, query: str, as_coded: bool = False, indexed_to: int | None = None) -> DataFrame:
-    """The same from an index: the places of the tokens that leaves match, then only those records.
+    """The same from an index: the places of the records that may match, then only those records.
 
     ``postings`` is read through its token column, so a table sorted by token is pruned; fuzzy terms are compared with
-    tokens of the index, not with messages. Segments after ``indexed_to`` aren't in the index yet and are scanned.
+    tokens of the index, not with messages. Few places are named in the records' filter, which skips the segments and
+    row groups that have none; many are joined. Segments after ``indexed_to`` aren't in the index yet and are scanned.
     """
     tree = parse(query, as_coded)
-    old = logs if indexed_to is None else logs.filter(F.col("segment_id") <= indexed_to)
-    found = old.join(places(postings, tree), PLACE, "left_semi").select(*FIELDS, *PLACE)
+    wanted = places(postings if indexed_to is None else postings.filter(F.col("segment_id") <= indexed_to), tree)
+    named = wanted.limit(NAMED_PLACES + 1).collect()  # bounded
+    if len(named) <= NAMED_PLACES:
+        found = logs.filter(_at(named)).select(*FIELDS, *PLACE)
+    else:
+        old = logs if indexed_to is None else logs.filter(F.col("segment_id") <= indexed_to)
+        found = old.join(wanted, PLACE, "left_semi").select(*FIELDS, *PLACE)
     if indexed_to is not None:
         found = found.unionByName(logs.filter(F.col("segment_id") > indexed_to).select(*FIELDS, *PLACE))
     return results(_rows(found, tree))
 
 
+def _at(named: list) -> Column:
+    """Whether a record is at one of some places; which segments and offsets there are at all is said apart, for the scan."""
+    by: dict[int, list[int]] = {}
+    for segment, offset in named:
+        by.setdefault(segment, []).append(offset)
+    if not by:
+        return F.lit(False)
+    each = [(F.col("segment_id") == k) & F.col("offset").isin(v) for k, v in by.items()]
+    while len(each) > 1:  # balanced, as deep expressions are slow to plan
+        each = [reduce(Column.__or__, each[i : i + 2]) for i in range(0, len(each), 2)]
+    return F.col("segment_id").isin(list(by)) & F.col("offset").isin(sorted({o for v in by.values() for o in v})) & each[0]
+
+
+def _may_hold(node: Node, names: dict[Node, str]) -> Column:
+    """Whether a record with these leaves can be in a node's rows; of a difference only the left side is asked, as a
+    record on its right may still be left out there for its case."""
+    if isinstance(node, Minus):
+        return _may_hold(node.left, names)
+    if isinstance(node, And):
+        return _may_hold(node.left, names) & _may_hold(node.right, names)
+    if isinstance(node, Or):
+        return _may_hold(node.left, names) | _may_hold(node.right, names)
+    return F.col(names[node])
+
+
 def places(postings: DataFrame, tree: Node) -> DataFrame:
-    """Places of all records that a leaf matches. Terms that Python compares meet each token of the index once."""
-    wanted = list(dict.fromkeys(leaves(tree)))
-    slow = [leaf for leaf in wanted if isinstance(leaf, Fuzzy) and leaf.k > 1]
-    quick = [token_matches(leaf, F.col("token")) for leaf in wanted if leaf not in slow]
-    found = [postings.filter(reduce(Column.__or__, quick)).select(*PLACE)] if quick else []
+    """Places of all records that may be in a tree's rows. Terms that Python compares meet each token of the index once."""
+    names = _columns(tree)
+    slow = {leaf: name for leaf, name in names.items() if isinstance(leaf, Fuzzy) and leaf.k > 1}
+    tests = {name: token_matches(leaf, F.col("token")) for leaf, name in names.items() if leaf not in slow}
+    rows = postings.select("token", *PLACE)
     if slow:
-        near = postings.select("token").distinct().filter(reduce(Column.__or__, (token_matches(leaf, F.col("token")) for leaf in slow)))
-        found.append(postings.join(near, "token", "left_semi").select(*PLACE))
-    return reduce(DataFrame.unionByName, found).distinct()
+        near = postings.select("token").distinct().withColumns({name: token_matches(leaf, F.col("token")) for leaf, name in slow.items()})
+        near = near.filter(reduce(Column.__or__, map(F.col, slow.values())))
+        if not tests:
+            rows = rows.join(near, "token")
+        else:
+            rows = rows.join(near, "token", "left").withColumns({name: F.coalesce(name, F.lit(False)) for name in slow.values()})
+    marked = rows.filter(reduce(Column.__or__, [*tests.values(), *map(F.col, slow.values())])).withColumns(tests)
+    if len(names) == 1:
+        return marked.select(*PLACE).distinct()
+    held = marked.groupBy(*PLACE).agg(*(F.max(name).alias(name) for name in names.values()))
+    return held.filter(_may_hold(tree, names)).select(*PLACE)
 
 
 def token_matches(leaf: Node, token: Column) -> Column:
