@@ -122,3 +122,14 @@ def predicate(text: Column, term: str, k: int) -> Column:
 
     pieces = _pieces(pattern, k)
     return text.rlike(pieces) & near(text) if pieces else near(text)
+
+
+def score_column(text: Column, term: str, k: int) -> Column:
+    """``score`` of each text, in Arrow batches."""
+    pattern = as_bytes(term)
+
+    @F.pandas_udf("int")
+    def scored(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: score(t or "", pattern, k)).astype("int32")
+
+    return scored(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..model import FIELDS, PLACE, logs_cased, logs_documents, logs_events, resu
 from ..operators import index, setops
 from ..operators import stats as figures
 from ..sources import ingest, segments
+from ..sources.staging import remove, staging_dir
 from .query import And, Exact, Minus, Node, Or, Wildcard, leaves, parse
 from .search import search, search_by_sets, search_postings, visible
 
@@ -104,6 +106,7 @@ SEARCHES = {
     "search_wildcard_infix": "th*ble",
     "search_fuzzy1": "licnese~1",
     "search_fuzzy2": "licnese~2",
+    "search_fuzzy3": "lisencse~3",
     "search_and": "ertion AND thtion",
     "search_or": "license OR licnese~1",
     "search_not": "thtion AND NOT ertion",
@@ -114,13 +117,27 @@ SEARCHES = {
 AS_CODED = {"search_as_coded_parens": "license AND (ertion OR thtion)", "search_as_coded_not": "license OR NOT ertion"}
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def _written_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the documents, written once for all queries of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _written:
+        path = staging_dir(spark)
+        atexit.register(remove, spark.sparkContext, path)
+        index.write_index(index.postings(_documents(spark, d)), path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 def _register_searches() -> None:
     for name, q in SEARCHES.items():
         _queries[name] = lambda spark, d, q=q: search(_documents(spark, d), q)
         _sql[name] = search_sql(parse(q))
         _queries[f"{name}_by_sets"] = lambda spark, d, q=q: search_by_sets(_documents(spark, d), q)
         _sql[f"{name}_by_sets"] = _sql[name]
-        _queries[f"{name}_postings"] = lambda spark, d, q=q: search_postings(_documents(spark, d), index.postings(_documents(spark, d)), q)
+        _queries[f"{name}_postings"] = lambda spark, d, q=q: search_postings(_documents(spark, d), _written_index(spark, d), q)
         _sql[f"{name}_postings"] = _sql[name]
     for name, q in AS_CODED.items():
         _queries[name] = lambda spark, d, q=q: search(_documents(spark, d), q, as_coded=True)
@@ -128,6 +145,10 @@ def _register_searches() -> None:
     for name, q in {"search_cased": "license OR th*ble", "search_cased_fuzzy": "licnese~1", "search_cased_exact": "license"}.items():
         _queries[name] = lambda spark, d, q=q: search(logs_cased(_table(spark, d, "documents")), q)
         _sql[name] = search_sql(parse(q), CASED)
+    # a segment that isn't visible yet gives nothing
+    hidden = "CASE WHEN segment_id % 2 = 1 THEN -1 ELSE segment_id END"
+    _queries["search_hidden"] = lambda spark, d: search(_documents(spark, d).withColumn("segment_id", F.expr(hidden).cast("int")), "license OR th*ble")
+    _sql["search_hidden"] = search_sql(parse("license OR th*ble"), LOGS.replace("logs AS", "every AS") + ", logs AS (SELECT * FROM every WHERE segment_id % 2 = 0)")
     _queries["search_events"] = lambda spark, d: search(logs_events(_table(spark, d, "events")), "error AND user NOT 7*")
     _sql["search_events"] = search_sql(parse("error AND user NOT 7*"), EVENTS)
 
@@ -192,26 +213,33 @@ def substring_positions(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "benchmark").select("item_id", F.explode(text.occurrences(F.col("text"), F.lit("the"))).alias("place"))
 
 
-@query(f"""WITH {LOGS}, {TOK}, v AS (SELECT DISTINCT token FROM tok WHERE length(token) = 8)
+@query(f"""WITH {LOGS}, {TOK}, v AS (SELECT DISTINCT token FROM tok)
            SELECT token, levenshtein(token, 'thertion')::INT AS distance FROM v""")
 def levenshtein(spark: SparkSession, d: str) -> DataFrame:
-    words = index.vocabulary(index.postings(_documents(spark, d))).filter(F.length("token") == 8)
+    words = index.vocabulary(index.postings(_documents(spark, d)))
     return words.select("token", F.levenshtein(F.col("token"), F.lit("thertion")).alias("distance"))
 
 
-@query(f"""WITH {LOGS}, {TOK} SELECT DISTINCT token, token LIKE 'th%ble' AS matched FROM tok WHERE token LIKE 't%'""")
+@query(f"""WITH {LOGS}, {TOK} SELECT DISTINCT token, token LIKE 'th%ble' AS matched FROM tok""")
 def wildcard_match(spark: SparkSession, d: str) -> DataFrame:
-    words = index.prefix(index.postings(_documents(spark, d)), "t")
+    words = index.vocabulary(index.postings(_documents(spark, d)))
     return words.select("token", text.wildcard_match("th*ble", F.col("token")).alias("matched"))
 
 
-@query(f"""WITH {LOGS}, {TOK}, v AS (SELECT DISTINCT token FROM tok WHERE length(token) BETWEEN 6 AND 9)
+@query(f"""WITH {LOGS}, {TOK}, v AS (SELECT DISTINCT token FROM tok)
            SELECT token, len(list_filter(range(1, length(token) - 4), lambda i: damerau_levenshtein(substr(token, i, 6), 'thtion') <= 1)) > 0 AS near FROM v""")
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    words = index.vocabulary(index.postings(_documents(spark, d))).filter("length(token) between 6 and 9")
+    words = index.vocabulary(index.postings(_documents(spark, d)))
     return words.select("token", fuzzy.predicate(F.col("token"), "thtion", 1).alias("near"))
 
 
+@query(f"""WITH {LOGS}, {TOK}, v AS (SELECT DISTINCT token FROM tok)
+           SELECT token, least(coalesce(list_min(list_transform(range(1, length(token) - 4), lambda i: damerau_levenshtein(substr(token, i, 6), 'thtion'))), 3), 3)::INT AS score FROM v""")
+def fuzzy_score(spark: SparkSession, d: str) -> DataFrame:
+    words = index.vocabulary(index.postings(_documents(spark, d)))
+    return words.select("token", fuzzy.score_column(F.col("token"), "thtion", 2).alias("score"))
+
+
 # --- records: validation, checksums, segments, recovery ---
 
 _BLANKED = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS service, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'WARN' END AS level,
@@ -265,6 +293,26 @@ def wal_recover(spark: SparkSession, d: str) -> DataFrame:
     return segments.recover(docs.select(F.col("text").alias("raw")), docs.filter("doc_id % 3 = 0").select(F.col("text").alias("raw")))
 
 
+@query(f"""WITH {LOGS}, stored AS (SELECT * FROM logs WHERE segment_id % 3 = 0),
+           log AS (SELECT * FROM logs WHERE segment_id % 3 <> 0 AND NOT (segment_id % 3 = 1 AND line_no = 4)),
+           held AS (SELECT {FIELD_SQL} FROM stored UNION ALL SELECT {FIELD_SQL} FROM log WHERE ({FIELD_SQL}) NOT IN (SELECT ({FIELD_SQL}) FROM stored))
+           SELECT * FROM held WHERE service <> '' AND regexp_matches(message, '[a-zA-Z0-9_]')""")
+def recover_and_index(spark: SparkSession, d: str) -> DataFrame:
+    """A log of all documents, some of its entries broken, beside the segments that were stored already: what is whole and
+    missing is validated, stored and indexed, and all records are found again through the index's places."""
+    logs = _documents(spark, d)
+    root = staging_dir(spark)
+    atexit.register(remove, spark.sparkContext, root)
+    segments.add_segment(logs.filter("segment_id % 3 = 0"), f"{root}/segments")
+    log = segments.framed(segments.as_json(logs.filter("segment_id % 3 <> 0 and not (segment_id % 3 = 1 and line_no = 4)")))
+    torn = segments.framed(segments.as_json(logs.filter("segment_id % 3 = 1 and line_no = 4"))).withColumn("crc", F.col("crc") + 1)
+    segments.recover_segments(log.unionByName(torn), f"{root}/segments")
+    stored = segments.read_segments(spark, f"{root}/segments")
+    index.update_index(stored, f"{root}/index")
+    found, _ = index.read_index(spark, f"{root}/index")
+    return stored.join(found.select(*PLACE).distinct(), PLACE, "left_semi").select(*FIELDS)
+
+
 @query(f"WITH {LOGS} SELECT segment_id, count(*) AS records FROM logs GROUP BY segment_id")
 def segment_counts(spark: SparkSession, d: str) -> DataFrame:
     return figures.segment_counts(_documents(spark, d))
@@ -276,7 +324,7 @@ def segment_sort(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LOGS} SELECT (SELECT max(segment_id) + 1 FROM logs)::INT AS segment_id,
-           (row_number() OVER (ORDER BY line_no, encode(message), encode(service), encode(source_file), encode(level)) - 1)::INT AS "offset", message FROM logs""")
+           (row_number() OVER (ORDER BY line_no, encode(message), encode(service), encode(source_file), encode(level)) - 1)::BIGINT AS "offset", message FROM logs""")
 def compact(spark: SparkSession, d: str) -> DataFrame:
     return segments.compacted(_documents(spark, d), ["line_no", "message", "service", "source_file", "level"]).select(*PLACE, "message")
 
@@ -402,10 +450,10 @@ def backpressure(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LOGS} SELECT {FIELD_SQL} FROM logs")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The documents as JSON lines through the stream, then read back from its segments."""
-    from ..sources.staging import staging_dir
     from ..streaming.ingest import start
 
     root = staging_dir(spark)
+    atexit.register(remove, spark.sparkContext, root)
     segments.as_json(_documents(spark, d)).write.text(f"{root}/in")
     start(spark, f"{root}/in", f"{root}/segments", f"{root}/rejects", f"{root}/state", seconds=None).awaitTermination()
     return segments.read_segments(spark, f"{root}/segments").select(*FIELDS)
