@@ -1,4 +1,4 @@
-"""Scalar text functions over columns; all of them run in the JVM."""
+"""Scalar text functions over columns; all of them run in the JVM. A null text gives null, an empty one no tokens."""
 
 from __future__ import annotations
 

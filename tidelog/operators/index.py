@@ -1,4 +1,8 @@
-"""The inverted index as tables: postings of tokens and the vocabulary."""
+"""The inverted index as tables: postings of tokens and the vocabulary.
+
+Null and empty messages have no tokens. A token that a record repeats is one posting; records that are stored twice are
+at two places and have postings for each. Empty tables have an empty index. Extra columns are ignored.
+"""
 
 from __future__ import annotations
 

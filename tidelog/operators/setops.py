@@ -2,6 +2,10 @@
 
 First rows are found by a minimum that is combined before the shuffle and joined by place, which is unique, so neither
 side is skewed by content that repeats.
+
+Rows are stored records, whose fields are never null (validation sees to that); their places are unique. Empty tables
+give what the operations say: nothing, or the other side. Extra columns of the first table stay, in ``union`` those of
+the second must be the same; a column ``key_service`` must not be there.
 """
 
 from __future__ import annotations

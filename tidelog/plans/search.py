@@ -3,6 +3,10 @@
 Records of one key have the same message, and records equal but for case the same tokens, so a leaf is true of all of
 a group or of none. Hence only matching records are grouped at all, a boolean query is decided once for each key, and
 the first record of a key is a minimum, which is combined before the shuffle.
+
+Records come from segments: fields aren't null, and places are unique. A null or empty message matches nothing. An empty
+table gives no results. Of records that differ in nothing but their place, the first in order of (segment, offset)
+stands for all, but for a single term, which keeps each. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
-"""Segments: stored records as Parquet, a folder for each segment; the log before it; recovery and compaction."""
+"""Segments: stored records as Parquet, a folder for each segment; the log before it; recovery and compaction.
+
+Records that repeat are stored as often as they come. A batch without records is a segment without records.
+"""
 
 from __future__ import annotations
 
