@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder all executors can reach, from ``spark.checkpoint.dir``; a temporary one only where that is unset, which is
+    for masters whose executors are on this machine."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tidelog-")
         atexit.register(shutil.rmtree, _own_dir, True)

@@ -202,7 +202,9 @@ def remainder(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled rows that aren't held out (remainder 2), ``rows`` of them at most, copies counted once.
 
-    Rows without a label or an id are left out; of repeated labels the largest counts.
+    Rows without a label or an id are left out; of repeated labels the largest counts. Of an id with several texts each
+    counts. Without labels, or with an empty table, every score is a half; with one class only, it is that class. What
+    comes to the driver is the sample's hashed terms, each once in a row.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 2))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([f.tobytes() for f in found], pa.binary())], names=["id", "label", "terms"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")
-    got = texts.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, label int, terms binary").toArrow()
+    got = texts.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, label int, terms binary").distinct().toArrow()
     seen: dict[tuple[bytes, int], int] = {}
     for i, t, y in sorted(zip(*(got.column(c).to_pylist() for c in ("id", "terms", "label")))):
         seen.setdefault((t, y), i)
