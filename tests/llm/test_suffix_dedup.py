@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -6,6 +7,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from tidelog.llm import suffix_corpus
 from tidelog.llm.suffix_dedup import suffix_array, suffix_dedup
 
 SCHEMA = "doc_id long, text string, n_bytes string, s int"
@@ -81,3 +83,25 @@ def test_one_id_with_two_texts(spark):
     rows = [(7, one), (7, two), (8, one[100:400]), (None, two[:250] + "q"), (9007199254740993, "z" * 150)]
     want = sorted(((i, *rest[1:]) for (i, _), rest in zip(rows, (r for k in range(len(rows)) for r in brute([(j, t) for j, (_, t) in enumerate(rows)]) if r[0] == k))), key=str)
     assert result(spark, rows) == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_order_of_a_corpus(spark, seed):
+    """Ranks over all strings, by triples, names and merges in tasks, are those of sorting them."""
+    rng = random.Random(seed)
+    strings = [[rng.randint(1, 1 + seed) for _ in range(rng.randint(0, 25))] for _ in range(5)] + [[1, 1, 1, 1, 1, 1, 1]] * 2
+    got = {r.sid: r.ranks for r in suffix_corpus.suffix_ranks(spark.createDataFrame(list(enumerate(strings)), "sid long, cs array<long>")).collect()}
+    every = sorted(s[i:] for s in strings for i in range(len(s)))
+    assert got == {k: [1 + bisect.bisect_left(every, s[i:]) for i in range(len(s))] for k, s in enumerate(strings) if s}
+
+
+def test_spans_of_a_corpus(spark):
+    rng = random.Random(2)
+    passages = ["".join(rng.choices("ab", k=30)) for _ in range(2)]
+    rows = [(i, rng.choice(passages)[rng.randint(0, 3) :] + "".join(rng.choices("abc", k=rng.randint(0, 8)))) for i in range(6)] + [(9, None)]
+    found = suffix_corpus.repeated_strings(spark.createDataFrame(rows, "id long, t string"), 20).collect()
+    where = {}
+    for i, t in rows:
+        for k in range(len(t or "") - 19):
+            where.setdefault(t[k : k + 20], []).append((i, k, k + 20))
+    assert sorted(map(tuple, found)) == sorted(x for w in where.values() if len(w) > 1 for x in w)
