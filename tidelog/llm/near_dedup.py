@@ -26,7 +26,7 @@ from .rolling import U64, between, mix, prefix_sums, windows, words
 
 #: Retained values, and words of a shingle.
 K, SHINGLE = 64, 5
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Ids of candidates are broadcast up to this many rows (8 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 400_000
 #: Pivots of a list in the first round, later ones get ``GROWTH`` times as many; parts a long list is ranked in.
@@ -86,10 +86,14 @@ def shingled(docs: DataFrame, size: int = SHINGLE, whole: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "t", BLOCK):
-            sets = list(shingle_sets(utf8(batch.column("t")), size))
-            digests = np.array([_digests(s) for s in sets], U64).reshape(-1, 2).view(np.int64)
-            columns = [*map(batch.column, names), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(sets if whole else [s[:K] for s in sets])], names=[*names, "n", "h1", "h2", name])
+            sizes, digests, kept = [], [], []
+            for s in shingle_sets(utf8(batch.column("t")), size):
+                sizes.append(len(s))
+                digests.append(_digests(s))
+                kept.append(s if whole else s[:K].copy())  # a slice alone would hold the whole set
+            of = np.array(digests, U64).reshape(-1, 2).view(np.int64)
+            columns = [*map(batch.column, names), pa.array(sizes, pa.int64()), pa.array(of[:, 0].copy()), pa.array(of[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(kept)], names=[*names, "n", "h1", "h2", name])
 
     return docs.mapInArrow(run, f"{' long, '.join(names)} long, n long, h1 long, h2 long, {name} array<long>")
 

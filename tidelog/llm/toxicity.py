@@ -37,7 +37,7 @@ BEGINNING = 4
 THRESHOLD = 0.3
 #: Toxic rows there must be among those that place the cut, and so many by which it is believed half.
 LEAST_TOXIC, FEW_TOXIC = 10, 50
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _word = re.compile(r"[^\W_]+")
 
 
