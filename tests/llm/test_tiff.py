@@ -22,7 +22,7 @@ def test_codecs(codec, seed):
         assert tiff.UNPACK[codec](tiff.PACK[codec](data)) == data
 
 
-@pytest.mark.parametrize("codec,predictor,tile,order", list(itertools.product(CODECS, (1, 2), (0, 16), "<>")))
+@pytest.mark.parametrize("codec,predictor,tile,order", list(itertools.product(CODECS, (1, 2), (None, (16, 16), (16, 32)), "<>")))
 def test_pages(codec, predictor, tile, order):
     rng = np.random.default_rng(1)
     images = [rng.integers(0, 9, (h, w), dtype=np.uint8) for h, w in ((1, 1), (40, 33), (16, 16), (7, 90))]

@@ -213,19 +213,19 @@ def pages(data: bytes) -> Iterator[Page]:
         yield Page(width, height, samples, bits, compression, predictor, "tiles" if tiled else "strips", out)
 
 
-def make(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: int = 0, order: str = "<") -> bytes:
-    """A file with a page for each 8-bit image (height x width), in strips or square tiles."""
+def make(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
+    """A file with a page for each 8-bit image (height x width), in strips or in tiles of so many rows and columns."""
     out = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 0))
     link = 4
     for image in images:
         height, width = image.shape
         parts = []
-        step_y, step_x = (tile, tile) if tile else (strip_rows, width)
+        step_y, step_x = tile or (strip_rows, width)
         for y in range(0, height, step_y):
             for x in range(0, width, step_x):
                 block = image[y : y + step_y, x : x + step_x]
-                if tile and block.shape != (tile, tile):
-                    block = np.pad(block, ((0, tile - block.shape[0]), (0, tile - block.shape[1])))
+                if tile and block.shape != tile:
+                    block = np.pad(block, ((0, tile[0] - block.shape[0]), (0, tile[1] - block.shape[1])))
                 if predictor == 2:
                     block = np.diff(block, axis=1, prepend=np.uint8(0))
                 parts.append(PACK[compression](block.tobytes()))
@@ -235,7 +235,7 @@ def make(images: list[np.ndarray], compression: int = DEFLATE, predictor: int =
             out += p + b"\0" * (len(p) & 1)
         counts = [len(p) for p in parts]
         fields = {256: (width,), 257: (height,), 258: (8,), 259: (compression,), 262: (1,), 277: (1,), 317: (predictor,)}
-        fields |= {322: (tile,), 323: (tile,), 324: offsets, 325: counts} if tile else {273: offsets, 278: (strip_rows,), 279: counts}
+        fields |= {322: (tile[1],), 323: (tile[0],), 324: offsets, 325: counts} if tile else {273: offsets, 278: (strip_rows,), 279: counts}
         arrays = {}
         for tag, values in fields.items():
             if len(values) > 1:
@@ -278,9 +278,9 @@ def read_pages(files: DataFrame, id_col: str, file_col: str) -> DataFrame:
     return files.select(F.col(id_col).alias("id"), F.col(file_col).alias("f")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-#: How texts are stored: compression, predictor, side of a tile (0 for strips) and byte order, by a text's checksum. LZW
+#: How texts are stored: compression, predictor, rows and columns of a tile (none: strips) and byte order, by a text's checksum. LZW
 #: and PackBits are coded byte by byte here, so they are one of six.
-WAYS = [(c, p, t, o) for c in (DEFLATE,) * 10 + (LZW, PACKBITS) for p in (1, 2) for t in (0, 16) for o in "<>"]
+WAYS = [(c, p, t, o) for c in (DEFLATE,) * 10 + (LZW, PACKBITS) for p in (1, 2) for t in (None, (16, 288)) for o in "<>"]
 
 
 def store(text: bytes) -> tuple[bytes, int]:
