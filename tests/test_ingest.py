@@ -109,6 +109,25 @@ def test_log(spark):
     assert segments.recover(raw.unionByName(raw), raw.limit(1)).count() == 4
 
 
+@pytest.mark.parametrize("name", ["json_roundtrip"])
+def test_records_without_message_come_back(spark, tmp_path, name):
+    """Every document is written as JSON and read again, those that validation refuses too."""
+    from tidelog.plans import catalog
+
+    texts = ["plain", "", "\u2028 \u0000 \r\n \\ \" \U0001f600", "x" * 21_000_000]
+    rows = [(i, t, "en", "" if i == 6 else "s") for i, t in enumerate([*texts, *texts[:3]])] + [(7, None, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(s, ("INFO", "WARN", "ERROR")[i % 3], t, lang, i, 1730000000000) for i, t, lang, s in rows]
+    assert sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_null_fields_come_back(spark):
+    some = spark.createDataFrame([(None, None, None, None, None, 0), ("s", "INFO", "m", "", 0, 1)], records(spark, 1).schema)
+    back = ingest.decoded(segments.as_json(some), "raw")
+    assert sorted(map(tuple, back.select(*FIELDS).collect()), key=str) == sorted(map(tuple, some.collect()), key=str)
+
+
 def test_stream_goes_on_after_a_restart(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

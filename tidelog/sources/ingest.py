@@ -35,9 +35,11 @@ def validated(records: DataFrame, now_ms: Column | None = None) -> DataFrame:
     )
 
 
-def parsed(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON texts as records, with ``raw`` and ``error``: keys in any case, others ignored, types not converted."""
-    fields = F.from_json(F.col(column), "map<string,variant>")
+def decoded(raw: DataFrame, column: str = "value") -> DataFrame:
+    """JSON texts as records, unchecked, with ``raw`` and ``wrong``, which is true of texts that are no record: keys in any
+    case, others ignored, types not converted. A field that isn't there is empty or 0, one that is null is null. Fields
+    of up to 128 MB are read, which is Spark's bound for a variant."""
+    fields = F.from_json(F.col(column), "map<string,variant>", {"maxStringLen": str((1 << 31) - 1)})
     low = raw.select(F.col(column).alias("raw"), fields.alias("_m"))
     # of keys that differ in case only the last counts
     wanted = {f.name: f.dataType.simpleString() for f in RECORD}
@@ -51,9 +53,14 @@ def parsed(raw: DataFrame, column: str = "value") -> DataFrame:
         is_null = value.isNull() | F.is_variant_null(value)
         type_ok = F.schema_of_variant(value) == kind.upper()
         wrong = wrong | (~is_null & ~F.coalesce(type_ok, F.lit(False)))
-    values = [F.try_variant_get(F.col(f"_{n}"), "$", kind).alias(n) for n, kind in wanted.items()]
-    checked = validated(low.select("raw", wrong.alias("_wrong"), *values))
-    return checked.withColumn("error", F.when(F.col("_wrong"), F.lit("invalid JSON record")).otherwise(F.col("error"))).drop("_wrong")
+    value = lambda n, kind: F.when(F.col(f"_{n}").isNull(), F.lit("" if kind == "string" else 0).cast(kind)).otherwise(F.try_variant_get(F.col(f"_{n}"), "$", kind))
+    return low.select("raw", wrong.alias("wrong"), *(value(n, kind).alias(n) for n, kind in wanted.items()))
+
+
+def parsed(raw: DataFrame, column: str = "value") -> DataFrame:
+    """JSON texts as validated records, with ``raw`` and ``error``."""
+    checked = validated(decoded(raw, column))
+    return checked.withColumn("error", F.when(F.col("wrong"), F.lit("invalid JSON record")).otherwise(F.col("error"))).drop("wrong")
 
 
 def accepted(checked: DataFrame) -> DataFrame:

@@ -16,9 +16,11 @@ from .staging import exists, numbered, numbering, remove
 
 
 def as_json(records: DataFrame) -> DataFrame:
-    """Records as JSON texts (``raw``); an empty source file and line 0 are left out."""
-    slim = records.select(*FIELDS).withColumns({"source_file": F.nullif("source_file", F.lit("")), "line_no": F.nullif("line_no", F.lit(0))})
-    return slim.select(F.to_json(F.struct("timestamp", "service", "level", "message", "source_file", "line_no")).alias("raw"))
+    """Records as JSON texts (``raw``); an empty source file and line 0 are left out, a null field is written as null."""
+    text = lambda *more: F.to_json(F.struct("timestamp", "service", "level", "message", *more), {"ignoreNullFields": "false"})
+    file, line = F.coalesce(F.col("source_file") == "", F.lit(False)), F.coalesce(F.col("line_no") == 0, F.lit(False))
+    ways = F.when(file & line, text()).when(file, text("line_no")).when(line, text("source_file")).otherwise(text("source_file", "line_no"))
+    return records.select(ways.alias("raw"))
 
 
 def framed(raw: DataFrame) -> DataFrame:
