@@ -109,7 +109,7 @@ def test_log(spark):
     assert segments.recover(raw.unionByName(raw), raw.limit(1)).count() == 4
 
 
-@pytest.mark.parametrize("name", ["json_roundtrip"])
+@pytest.mark.parametrize("name", ["json_roundtrip", "stream_ingest"])
 def test_records_without_message_come_back(spark, tmp_path, name):
     """Every document is written as JSON and read again, those that validation refuses too."""
     from tidelog.plans import catalog
