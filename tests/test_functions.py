@@ -76,3 +76,15 @@ def test_shards(spark):
     words = ["", "a", "hello", "z" * 50, "timeout", "x_1"]
     got = spark.createDataFrame([(w,) for w in words], "t string").coalesce(1).select(text.token_hash("t", 8)).collect()
     assert [r[0] for r in got] == [shard(w, 8) for w in words]
+
+
+def test_tokens_of_all_characters(spark):
+    """Only ASCII letters are letters of tokens, whatever other characters become in lower case."""
+    import re
+
+    t = "".join(f"A{chr(c)}Z\u212a\u0130_{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    parts = [t[i : i + 100_000] for i in range(0, len(t), 100_000)] + ["", "Ab K\u212ab \u0130I"]
+    found = spark.createDataFrame([(x,) for x in parts], "t string").select("t", text.tokens("t").alias("low"), text.tokens("t", lower=False).alias("raw")).collect()
+    for r in found:
+        want = re.findall("[a-zA-Z0-9_]+", r.t)
+        assert r.raw == want and r.low == [w.lower() for w in want]

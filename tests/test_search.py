@@ -114,6 +114,22 @@ def test_index_on_disk(spark, golden, tmp_path):
     assert search_postings(golden, index, "db").count() == 3
 
 
+def test_index_is_written_in_runs(spark, golden, tmp_path, monkeypatch):
+    """Each task sorts what it reads: nothing is staged or shuffled, and all postings are there."""
+    import tidelog.operators.index as m
+
+    monkeypatch.setattr(m, "staging_dir", lambda _: pytest.fail("postings were staged"))
+    many = golden.unionByName(golden.withColumn("segment_id", F.lit(1))).repartition(3)
+    want = sorted(map(tuple, postings(many).collect()))
+    write_index(postings(many), str(tmp_path / "index"))
+    files = list((tmp_path / "index").glob("*.parquet"))
+    runs = [list(map(tuple, spark.read.parquet(str(f)).coalesce(1).collect())) for f in files]
+    assert all(r == sorted(r) for r in runs) and sorted(t for r in runs for t in r) == want
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for q in ("error AND timeout", "timeout OR tiemout~2", "auth*"):
+        assert sorted(map(tuple, search_postings(many, index, q).collect())) == sorted(map(tuple, search(many, q).collect()))
+
+
 def test_few_and_many_places(spark, golden, monkeypatch, tmp_path):
     """Places named in the filter, and places joined, give the same."""
     import tidelog.plans.search as m
