@@ -88,3 +88,23 @@ def test_tokens_of_all_characters(spark):
     for r in found:
         want = re.findall("[a-zA-Z0-9_]+", r.t)
         assert r.raw == want and r.low == [w.lower() for w in want]
+
+
+@pytest.mark.parametrize("term,k", [("licnese", 2), ("lisencse", 3), ("abc", 3), ("aab", 2), ("é9", 2), ("x-y", 2)])
+def test_python_gets_few_tokens(spark, term, k, monkeypatch):
+    """What leaves the JVM is much less than the texts, and no near token is left behind."""
+    rng = random.Random(term)
+    words = ["".join(rng.choices("lisencabx9_", k=rng.randint(1, 12))) for _ in range(3000)] + ["License", "LISCENES9", "aAb", "abx"]
+    texts = ["-".join(rng.choices(words, k=30)) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select("t", fuzzy.predicate(F.col("t"), term, k).alias("near")).collect()
+    lower = lambda t: [w.lower() for w in fuzzy._token.findall(t or "")]
+    assert [bool(r.near) for r in got] == [any(fuzzy.matches(w, fuzzy.as_bytes(term), k) for w in lower(r.t)) for r in got]
+    tokens = spark.createDataFrame([(w.lower(),) for w in words], "w string")
+    assert [bool(r.near) for r in tokens.select(fuzzy.token_predicate(F.col("w"), term, k).alias("near")).collect()] == [fuzzy.matches(w.lower(), fuzzy.as_bytes(term), k) for w in words]
+    if term == "lisencse":
+        sent = []
+        monkeypatch.setattr(fuzzy, "_near_udf", lambda *_: lambda column: sent.append(column) or column.contains(""))
+        fuzzy.predicate(F.col("t"), term, k)
+        bytes_sent, all_bytes = df.select(F.sum(F.octet_length(sent[0])), F.sum(F.octet_length("t"))).first()
+        assert bytes_sent < all_bytes / 2
