@@ -130,6 +130,26 @@ def test_index_is_written_in_runs(spark, golden, tmp_path, monkeypatch):
         assert sorted(map(tuple, search_postings(many, index, q).collect())) == sorted(map(tuple, search(many, q).collect()))
 
 
+def test_near_tokens_are_broadcast(spark, golden, monkeypatch, tmp_path):
+    """All postings aren't shuffled for the few tokens near a term; many tokens, by a shuffle, give the same."""
+    import tidelog.plans.search as m
+
+    write_index(postings(golden), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    monkeypatch.setattr(m, "BROADCAST_TOKENS", m.BROADCAST_TOKENS)
+    for q in ("tiemuot~2", "conectoin~3", "alice OR tiemuot~2", "err~3 AND x~3"):
+        want = sorted(map(tuple, search(golden, q).collect()))
+        for most in (200_000, -1):
+            m.BROADCAST_TOKENS = most
+            if most > 0 and q == "conectoin~3":
+                conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+                plan = m.places(index, parse(q))._jdf.queryExecution().executedPlan().toString()
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+                assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert sorted(map(tuple, search_postings(golden, index, q).collect())) == want, q
+
+
 def test_few_and_many_places(spark, golden, monkeypatch, tmp_path):
     """Places named in the filter, and places joined, give the same."""
     import tidelog.plans.search as m
