@@ -100,6 +100,26 @@ def test_recovery_and_compaction(spark, tmp_path):
     assert engine.answer("message")["total_matches"] == 5 and engine.compact(["message"]) is None
 
 
+def test_recovery_reads_the_log_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(raw):
+        read.add(1)
+        return raw
+
+    log = segments.framed(segments.as_json(records(spark, 6)).coalesce(1).select(counted.asNondeterministic()("raw").alias("raw")))
+    segments.add_segment(records(spark, 2), str(tmp_path))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large logs, log and segments are shuffled
+    try:
+        assert segments.recover_segments(log, str(tmp_path))[0] == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert read.value == 6 and segments.read_segments(spark, str(tmp_path)).count() == 6
+    assert segments.recover_segments(log, str(tmp_path))[0] is None
+
+
 def test_log(spark):
     raw = segments.as_json(records(spark, 3))
     assert json.loads(raw.first()[0]) == {"timestamp": 1, "service": "s", "level": "INFO", "message": "message 0"}

@@ -104,8 +104,11 @@ def recover_segments(log: DataFrame, path: str) -> tuple[int | None, DataFrame]:
     whole = intact(log)
     missing = recover(whole, as_json(read_segments(spark, path))) if exists(spark, path) and _has_segments(spark, path) else whole
     checked = parsed(missing.withColumnRenamed("raw", "value"))
-    good = accepted(checked)
-    return (None if good.isEmpty() else add_segment(good, path)), rejected(checked)
+    with numbering(accepted(checked)) as placed:  # matched and parsed once, then it is known if there is any
+        number = None if placed.isEmpty() else claim(spark, path, uuid.uuid4().hex)
+        if number is not None:
+            placed.write.mode("overwrite").parquet(f"{path}/segment_id={number}")
+    return number, rejected(checked)
 
 
 def _has_segments(spark: SparkSession, path: str) -> bool:
