@@ -226,3 +226,12 @@ def test_records_are_not_shuffled_or_tested_before_places(spark, golden, monkeyp
     assert len(join) == 1
     below = optimized.split(join[0])[1]
     assert "RLIKE" not in below and "Contains" not in below
+
+
+@pytest.mark.parametrize("term", ["licnese", "ab", "a", "a_1", "timeout", "x-y"])
+def test_fuzzy1_of_tokens_is_that_of_texts(spark, term):
+    rng = random.Random(term)
+    tokens = {"".join(rng.choices("licnesatmou_1xyb", k=rng.randint(1, 9))) for _ in range(300)} | {term, f"q{term}", f"{term[:-1]}z", f"{term[1:2]}{term[:1]}{term[2:]}"}
+    rows = spark.createDataFrame([(t,) for t in sorted(tokens) if re.fullmatch("[a-z0-9_]+", t)], "token string")
+    got = {r.token for r in rows.filter(fuzzy.token_predicate(F.col("token"), term, 1)).collect()}
+    assert got == {r.token for r in rows.collect() if fuzzy.matches(r.token, fuzzy.as_bytes(term), 1)}
